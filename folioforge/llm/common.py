@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,3 +155,21 @@ def unsqueeze(width: int, raw: bytes) -> np.ndarray:
     out = np.zeros((len(part), 8), np.uint8)
     out[:, :width] = part
     return out.view(np.uint64).ravel()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (rk, doc_id, body) with each body compressed, so that a shuffle of whole texts moves less."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            bodies = pa.array([tool.compress(x.as_py()) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], ["rk", "doc_id", "body"])
+
+    return docs.select("rk", "doc_id", "body").mapInArrow(pack, "rk long, doc_id long, body binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    tool = zstandard.ZstdDecompressor()
+    for x in column:
+        yield tool.decompress(x.as_py())

@@ -1,8 +1,8 @@
 """Substring dedup by a log-structured fingerprint index.
 
-Every window of `words` consecutive words has a 64-bit fingerprint. Documents are read in batches; each batch leaves one
+Every window of `words` consecutive words has a fingerprint of 56 bits, and 8 bits of another hash to verify it. Documents are read in batches; each batch leaves one
 sorted, immutable run per fingerprint range. All runs of a range, and the compacted runs of earlier calls, are merge-joined
-by one task; equal fingerprints are verified by a second, independent check value; the earliest document of each stays.
+by one task; equal fingerprints are verified by the second, independent hash; the earliest document of each stays.
 Runs of one range can be compacted to one run (`compact`), against which a later batch is deduplicated.
 
 A fingerprint that occurs often is sent once per run and document at most, so no key grows beyond the number of runs.
@@ -22,6 +22,8 @@ from folioforge.llm import common as C
 
 #: Windows in a run, and bytes hashed at a time.
 RUN, BLOCK = 1 << 21, 2_000_000
+#: Bits of the fingerprint by which runs are sorted; eight more, of another hash, verify.
+BITS = 56
 RUNS = "bucket int, header binary, width int, gaps binary, at_width int, at binary, low_width int, low binary, checks binary"
 HISTORY = "bucket int, hashes binary, checks binary, owners binary"
 FLAGS = "rk long, at binary"
@@ -29,7 +31,7 @@ FLAGS = "rk long, at binary"
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     """The fingerprint range of each hash; it rises with the hash."""
-    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    return (((hashes >> np.uint64(BITS - 32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def _emit(parts: list, docs: list, n: int) -> pa.RecordBatch:
@@ -91,7 +93,7 @@ def runs(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     continue
                 second, _ = C.window_hashes(C.mix(hashed ^ C.MULTIPLIERS[7]), doc_words, words)
                 keep = np.diff(doc_words) >= words
-                parts.append((prints, (second >> np.uint64(56)).astype(np.uint8), at + base))
+                parts.append((prints >> np.uint64(64 - BITS), (second >> np.uint64(56)).astype(np.uint8), at + base))
                 owners.append((rk[a:b][keep], order[a:b][keep], doc_words[:-1][keep] + base))
                 base += len(starts)
                 n_windows += len(prints)
@@ -195,14 +197,14 @@ def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: st
     Windows are judged on the input. Kept words are joined by one space. history comes from `compact` with the same buckets.
     """
     rows = C.keyed(docs, id_col, text_col)
-    buckets = buckets or 2 * C.n_partitions(docs.sparkSession)
+    buckets = buckets or C.n_partitions(docs.sparkSession)
     found = repeats(runs(rows, words, buckets), history).groupBy("rk").agg(F.collect_list("at").alias("at"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for body, places in zip(batch.column(1), batch.column(2), strict=True):
-                own = body.as_py().split()
+            for body, places in zip(C.unpacked(batch.column(1)), batch.column(2), strict=True):
+                own = body.split()
                 n_words.append(len(own))
                 places = places.as_py()
                 if places:
@@ -216,7 +218,7 @@ def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: st
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.select("rk", "doc_id", "body").join(found, "rk", "left").select("doc_id", "body", "at").mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept binary")
+    return C.packed(rows.select("rk", "doc_id", "body")).join(found, "rk", "left").select("doc_id", "body", "at").mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -166,12 +166,19 @@ def spans(docs: DataFrame, length: int = 400, keep: str = "first", largest: int
     of = (F.col("rep.ord") == F.col("ord")) & (F.col("rep.lo") == F.col("lo")) & (F.col("rep.rk") == F.col("rk"))
     whole = table.join(twice, ["anchor", "whole"]).filter(~of if first else F.lit(True)).select("rk", "lo", "hi")
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rk, body, parts in zip(batch.column(0), C.unpacked(batch.column(1)), batch.column(2), strict=True):
+                own = [parts.values.field(k) for k in ("anchor", "kinds", "n", "ord", "lo", "hi")]
+                cut = [body[a : b + length] for a, b in zip(own[4].to_pylist(), own[5].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([rk.as_py()] * len(cut), pa.int64()), *own, pa.array(cut, pa.binary())], ["rk", "anchor", "kinds", "n", "ord", "lo", "hi", "content"])
+
     mixed = C.written(same.join(classes.filter("kinds > 1"), "anchor").select("anchor", "kinds", "n", "rep.*"), "mixed")
     content = (
         mixed.groupBy("rk").agg(F.collect_list(F.struct("anchor", "kinds", "n", "ord", "lo", "hi")).alias("parts"))
-        .join(docs.select("rk", "body"), "rk")
-        .select("rk", "body", F.explode("parts").alias("x"))
-        .select("x.*", "rk", F.substring("body", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + length).alias("content"))
+        .join(C.packed(docs), "rk")
+        .select("rk", "body", "parts")
+        .mapInArrow(slices, "rk long, anchor long, kinds long, n long, ord long, lo int, hi int, content binary")
     )
     names = ["anchor", "n", "rk", "ord", "lo", "hi", "content"]
 
@@ -223,8 +230,8 @@ def dedup(docs: DataFrame, length: int = 400, keep: str = "first", id_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for body, at in zip(batch.column(1), batch.column(2), strict=True):
-                own = np.frombuffer(body.as_py(), np.uint8)
+            for body, at in zip(C.unpacked(batch.column(1)), batch.column(2), strict=True):
+                own = np.frombuffer(body, np.uint8)
                 removed = runs_ = 0
                 kept = own
                 if at.is_valid and len(at.values):
@@ -240,7 +247,7 @@ def dedup(docs: DataFrame, length: int = 400, keep: str = "first", id_col: str =
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.select("rk", "doc_id", "body").join(found, "rk", "left")
+    joined = C.packed(rows).join(found, "rk", "left")
     return joined.select("doc_id", "body", "at").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
