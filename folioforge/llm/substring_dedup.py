@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from folioforge.llm import common as C
 
 #: Windows in a run, and bytes hashed at a time.
-RUN, BLOCK = 1 << 21, 2_000_000
+RUN, BLOCK = 1 << 21, 1_000_000
 #: Bits of the fingerprint by which runs are sorted; eight more, of another hash, verify.
 BITS = 56
 RUNS = "bucket int, header binary, width int, gaps binary, at_width int, at binary, low_width int, low binary, checks binary"
 HISTORY = "bucket int, hashes binary, checks binary, owners binary"
-FLAGS = "rk long, at binary"
+FLAGS = "grp int, rks binary, counts binary, at binary"
 
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -34,6 +34,11 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(BITS - 32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def _group(rk: np.ndarray, n: int) -> np.ndarray:
+    """As pmod(rk, n) in SQL."""
+    return np.mod(rk, n)
+
+
 def _emit(parts: list, docs: list, n: int) -> pa.RecordBatch:
     """One run per range. parts: (hashes, checks, ordinals); docs: (rk, ord, first ordinal)."""
     hashes, checks, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -107,25 +112,26 @@ def runs(docs: DataFrame, words: int, buckets: int) -> DataFrame:
 
 
 def _load(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All runs of a range: hashes, checks, owner, row key, place in the document; and the places dominated in their own run."""
-    out: list[list] = [[] for _ in range(5)]
-    low: list[list] = [[], []]
+    """All runs of a range: hashes, checks, documents and places; documents and places of what its own run dominates; row keys and order of the documents."""
+    out: list[list] = [[] for _ in range(8)]
+    base = 0
     for row in table.to_pylist():
         n = int(np.frombuffer(row["header"][:8], np.int64)[0])
         rk, order, first = np.frombuffer(row["header"][8:], np.int64).reshape(3, n)
+        at = C.unsqueeze(row["at_width"], row["at"]).astype(np.int64)
         if len(row["gaps"]):
             gaps = np.concatenate([np.frombuffer(row["gaps"][:8], np.uint64), C.unsqueeze(row["width"], row["gaps"][8:])])
-            at = C.unsqueeze(row["at_width"], row["at"]).astype(np.int64)
-            doc = np.searchsorted(first, at, "right") - 1
-            for k, v in enumerate((np.cumsum(gaps, dtype=np.uint64), np.frombuffer(row["checks"], np.uint8), order[doc], rk[doc], at - first[doc])):
-                out[k].append(v)
-        at = C.unsqueeze(row["low_width"], row["low"]).astype(np.int64)
-        doc = np.searchsorted(first, at, "right") - 1
-        low[0].append(rk[doc])
-        low[1].append(at - first[doc])
-    kinds = (np.uint64, np.uint8, np.int64, np.int64, np.int64)
-    joined = [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, kinds, strict=True)]
-    return (*joined, *(np.concatenate(v) if v else np.zeros(0, np.int64) for v in low))
+            out[0].append(np.cumsum(gaps, dtype=np.uint64))
+            out[1].append(np.frombuffer(row["checks"], np.uint8))
+        for k, places in ((2, at), (4, C.unsqueeze(row["low_width"], row["low"]).astype(np.int64))):
+            doc = np.searchsorted(first, places, "right") - 1
+            out[k].append((doc + base).astype(np.int32))
+            out[k + 1].append((places - first[doc]).astype(np.int32))
+        out[6].append(rk)
+        out[7].append(order)
+        base += n
+    kinds = (np.uint64, np.uint8, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64)
+    return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, kinds, strict=True))
 
 
 def _merged(hashes: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,40 +149,44 @@ def _merged(hashes: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> tuple[
     return by, begin, np.minimum.reduceat(owner[by], begin) if len(begin) else np.zeros(0, np.int64)
 
 
-def repeats(run_table: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(rk, at): for documents with windows that an earlier document also has, their first words' places as 32-bit numbers."""
+def repeats(run_table: DataFrame, groups: int, history: DataFrame | None = None) -> DataFrame:
+    """Windows that an earlier document also has, as places of their first words: a row for each range and group of row keys."""
 
-    def merge(_key, *tables: pa.Table) -> pa.Table:
-        hashes, checks, owner, rk, place, low_rk, low_place = _load(tables[0])
-        n = len(hashes)
+    def merge(tables: list[pa.Table]) -> pa.Table:
+        hashes, checks, doc, place, low_doc, low_place, rk, order = _load(tables[0])
+        n, owner = len(hashes), order[doc]
         for row in tables[1].to_pylist() if len(tables) > 1 else []:
-            old = np.frombuffer(row["hashes"], np.uint64)
-            hashes = np.concatenate([hashes, old])
+            hashes = np.concatenate([hashes, np.frombuffer(row["hashes"], np.uint64)])
             checks = np.concatenate([checks, np.frombuffer(row["checks"], np.uint8)])
             owner = np.concatenate([owner, np.frombuffer(row["owners"], np.int64)])
         by, begin, least = _merged(hashes, checks, owner)
         late = np.zeros(len(hashes), bool)
         late[by] = owner[by] > np.repeat(least, np.diff(np.append(begin, len(hashes))))
         late = late[:n]
-        key, at = np.concatenate([rk[late], low_rk]), np.concatenate([place[late], low_place]).astype(np.uint32)
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(key)).astype(np.int64)
-        offsets = np.append(0, ends * 4) if len(cut) else np.zeros(1, np.int64)
-        blobs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
-        return pa.table({"rk": pa.array(key[cut], pa.int64()), "at": blobs})
+        key, at = rk[np.concatenate([doc[late], low_doc])], np.concatenate([place[late], low_place]).astype(np.uint32)
+        group = _group(key, groups)
+        by = np.lexsort((key, group))
+        key, at, group = key[by], at[by], group[by]
+        cut = np.searchsorted(group, np.arange(groups + 1))
+        rows: list[list] = [[], [], [], []]
+        for g in np.flatnonzero(cut[1:] > cut[:-1]):
+            own = key[cut[g] : cut[g + 1]]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for k, v in enumerate((int(g), own[first].tobytes(), np.diff(np.append(first, len(own))).astype(np.uint32).tobytes(), at[cut[g] : cut[g + 1]].tobytes())):
+                rows[k].append(v)
+        return pa.table([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["grp", "rks", "counts", "at"])
 
     if history is None:
-        return run_table.groupBy("bucket").applyInArrow(lambda key, a: merge(key, a), FLAGS)
-    return run_table.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda key, a, b: merge(key, a, b), FLAGS)
+        return run_table.groupBy("bucket").applyInArrow(lambda a: merge([a]), FLAGS)
+    return run_table.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda a, b: merge([a, b]), FLAGS)
 
 
 def compact(run_table: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One sorted run per range with the earliest owner of every fingerprint: the history for the next batch."""
 
-    def squash(key, *tables: pa.Table) -> pa.Table:
-        hashes, checks, owner = _load(tables[0])[:3]
+    def squash(key: tuple, tables: list[pa.Table]) -> pa.Table:
+        hashes, checks, doc, *_, order = _load(tables[0])
+        owner = order[doc]
         bucket = key[0].as_py()
         for row in tables[1].to_pylist() if len(tables) > 1 else []:
             hashes = np.concatenate([hashes, np.frombuffer(row["hashes"], np.uint64)])
@@ -187,8 +197,8 @@ def compact(run_table: DataFrame, history: DataFrame | None = None) -> DataFrame
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "hashes": [hashes[first].tobytes()], "checks": [checks[first].tobytes()], "owners": [least.tobytes()]})
 
     if history is None:
-        return run_table.groupBy("bucket").applyInArrow(lambda key, a: squash(key, a), HISTORY)
-    return run_table.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda key, a, b: squash(key, a, b), HISTORY)
+        return run_table.groupBy("bucket").applyInArrow(lambda key, a: squash(key, [a]), HISTORY)
+    return run_table.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda key, a, b: squash(key, [a, b]), HISTORY)
 
 
 def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
@@ -197,28 +207,32 @@ def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: st
     Windows are judged on the input. Kept words are joined by one space. history comes from `compact` with the same buckets.
     """
     rows = C.keyed(docs, id_col, text_col)
-    buckets = buckets or C.n_partitions(docs.sparkSession)
-    found = repeats(runs(rows, words, buckets), history).groupBy("rk").agg(F.collect_list("at").alias("at"))
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for body, places in zip(C.unpacked(batch.column(1)), batch.column(2), strict=True):
-                own = body.split()
-                n_words.append(len(own))
-                places = places.as_py()
-                if places:
-                    edge = np.zeros(len(own) + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places]))
-                    edge[at] += 1
-                    edge[at + words] -= 1
-                    stay = np.cumsum(edge[:-1]) == 0
-                    own = [own[k] for k in np.flatnonzero(stay)]
-                n_removed.append(n_words[-1] - len(own))
-                kept.append(b" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return C.packed(rows.select("rk", "doc_id", "body")).join(found, "rk", "left").select("doc_id", "body", "at").mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept binary")
+    groups = C.n_partitions(docs.sparkSession)
+    found = repeats(runs(rows, words, buckets or groups), groups, history)
+
+    def drop(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        where: dict[int, list] = {}
+        for row in flags.to_pylist():
+            at, n = np.frombuffer(row["at"], np.uint32), 0
+            for rk, m in zip(np.frombuffer(row["rks"], np.int64).tolist(), np.frombuffer(row["counts"], np.uint32).tolist(), strict=True):
+                where.setdefault(rk, []).append(at[n : n + m])
+                n += m
+        n_words, n_removed, kept = [], [], []
+        for rk, body in zip(texts["rk"].to_pylist(), C.unpacked(texts["body"]), strict=True):
+            own = body.split()
+            n_words.append(len(own))
+            if rk in where:
+                edge = np.zeros(len(own) + 1, np.int32)
+                at = np.unique(np.concatenate(where[rk]))
+                edge[at] += 1
+                edge[at + words] -= 1
+                own = [own[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            n_removed.append(n_words[-1] - len(own))
+            kept.append(b" ".join(own))
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+
+    texts = C.packed(rows).withColumn("grp", F.pmod("rk", F.lit(groups)).cast("int"))
+    return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def digest(result: DataFrame) -> DataFrame:
