@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
 
-GRAM, BLOCK, SUFFIXES = 32, 2_000_000, 2_000_000
+GRAM, BLOCK, SUFFIXES, PIECE = 32, 500_000, 750_000, 2_000_000
 STRETCH = "anchor long, whole long, rk long, ord long, lo int, hi int"
 
 
@@ -62,8 +62,8 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
             data, off = C.buffers(batch.column(2))
             for a, b in C.chunks(off, BLOCK):
                 # a longer document is taken in pieces that overlap, cut so that every string lies in one piece
-                for s in range(int(off[a]), int(off[b]), 8_000_000) if b == a + 1 else [int(off[a])]:
-                    e = min(int(off[b]), s + 8_000_000 + length - 1) if b == a + 1 else int(off[b])
+                for s in range(int(off[a]), int(off[b]), PIECE) if b == a + 1 else [int(off[a])]:
+                    e = min(int(off[b]), s + PIECE + length - 1) if b == a + 1 else int(off[b])
                     if e - s < length:
                         continue
                     part = data[s:e]
