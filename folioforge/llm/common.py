@@ -38,8 +38,20 @@ def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows in an Arrow batch: whole texts are long, and two batches of each Python worker are in memory at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rk, ord, doc_id, body): rows that agree in id and text share rk; ord orders ids with null last; body is UTF-8, null as empty."""
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     ident = F.col(id_col).cast("long")
     return docs.select(

@@ -169,17 +169,19 @@ def spans(docs: DataFrame, length: int = 400, keep: str = "first", largest: int
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rk, body, parts in zip(batch.column(0), C.unpacked(batch.column(1)), batch.column(2), strict=True):
-                own = [parts.values.field(k) for k in ("anchor", "kinds", "n", "ord", "lo", "hi")]
-                cut = [body[a : b + length] for a, b in zip(own[4].to_pylist(), own[5].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([rk.as_py()] * len(cut), pa.int64()), *own, pa.array(cut, pa.binary())], ["rk", "anchor", "kinds", "n", "ord", "lo", "hi", "content"])
+                own = [parts.values.field(k) for k in ("anchor", "n", "ord", "lo", "hi")]
+                cut = [body[a : b + length] for a, b in zip(own[3].to_pylist(), own[4].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([rk.as_py()] * len(cut), pa.int64()), *own, pa.array(cut, pa.binary())], ["rk", "anchor", "n", "ord", "lo", "hi", "content"])
 
     mixed = C.written(same.join(classes.filter("kinds > 1"), "anchor").select("anchor", "kinds", "n", "rep.*"), "mixed")
-    content = (
-        mixed.groupBy("rk").agg(F.collect_list(F.struct("anchor", "kinds", "n", "ord", "lo", "hi")).alias("parts"))
-        .join(C.packed(docs), "rk")
-        .select("rk", "body", "parts")
-        .mapInArrow(slices, "rk long, anchor long, kinds long, n long, ord long, lo int, hi int, content binary")
-    )
+    def content(part: DataFrame) -> DataFrame:
+        return (
+            part.groupBy("rk").agg(F.collect_list(F.struct("anchor", "n", "ord", "lo", "hi")).alias("parts"))
+            .join(C.packed(docs), "rk")
+            .select("rk", "body", "parts")
+            .mapInArrow(slices, "rk long, anchor long, n long, ord long, lo int, hi int, content binary")
+        )
+
     names = ["anchor", "n", "rk", "ord", "lo", "hi", "content"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +216,16 @@ def spans(docs: DataFrame, length: int = 400, keep: str = "first", largest: int
                 fill = [np.full(size, v[k]) for v in (rk, order_, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashed), *map(pa.array, fill), pa.array((lo[k] + np.arange(size)).astype(np.int32))], ["print", "rk", "ord", "n", "lo"])
 
-    small = content.filter(F.col("kinds") <= largest).select(*names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "rk long, lo int, hi int")
-    big = content.filter(F.col("kinds") > largest).select("rk", "ord", "lo", "hi", "n", "content").mapInArrow(prints, "print long, rk long, ord long, n long, lo int").dropDuplicates(["print", "rk", "lo"])
+    small = content(mixed.filter(F.col("kinds") <= largest)).select(*names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "rk long, lo int, hi int")
+    found = whole.unionByName(small)
+    large = mixed.filter(F.col("kinds") > largest)
+    if large.isEmpty():
+        return found
+    big = content(large).select("rk", "ord", "lo", "hi", "n", "content").mapInArrow(prints, "print long, rk long, ord long, n long, lo int").dropDuplicates(["print", "rk", "lo"])
     seen = big.groupBy("print").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("ord", "rk", "lo")).alias("least")).filter("m > 1")
     late = F.struct("ord", "rk", "lo") > F.col("least") if first else F.col("n") == 1
     huge = big.join(seen, "print").filter(late).select("rk", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(small).unionByName(huge)
+    return found.unionByName(huge)
 
 
 def dedup(docs: DataFrame, length: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", largest: int = 4096) -> DataFrame:
