@@ -12,6 +12,9 @@ Null text is empty; an empty text is its end id alone. Ids of sequences are uniq
 from __future__ import annotations
 
 import heapq
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame
 from folioforge.llm import common as C
 
 #: Words remembered by a task before it starts anew, and the longest that are.
-MEMORY, LONGEST = 250_000, 48
+MEMORY, LONGEST = 600_000, 48
+#: A point or comma between a Latin-1 letter and white space is a token of its own.
+_POINT = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,32 +38,53 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts. White space ends every token, so words between ASCII white space are encoded once and remembered."""
+    """Ids of texts. White space ends every token and case is lost, so lower-case words are encoded once and remembered.
+
+    New words of letters alone are encoded as one text and told apart by their last tokens, which bear the word-end suffix;
+    if the number of those isn't the number of words, each word is encoded by itself. Other words always are.
+    """
 
     def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_str(spec)
         self.tool.encode_special_tokens = True
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.tool.get_vocab_size(), bool)
+        for token, k in self.tool.get_vocab().items():
+            self.last[k] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        for a in range(0, len(plain), 20_000):
+            part = plain[a : a + 20_000]
+            ids = self._encode([" ".join([texts[k] for k in part])])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, stops = ids.tobytes(), (ends * 4).tolist()
+                self.known.update(zip([words[k] for k in part], [raw[x:y] for x, y in zip([0, *stops], stops)], strict=True))  # noqa: B905
+        rest = [k for k, w in enumerate(words) if w not in self.known]
+        for a in range(0, len(rest), 5_000):
+            part = rest[a : a + 5_000]
+            self.known.update(zip([words[k] for k in part], [x.tobytes() for x in self._encode([texts[k] for k in part])], strict=True))
 
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in bodies]
+        split = [_POINT.sub(rb"\1 \2", x.lower()).split() for x in bodies]
         if len(self.known) > MEMORY:
             self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        known = self.known
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            known.update(zip(part, self._ids(part), strict=True))
-        out = [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        find = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
         for w in new:
             if len(w) > LONGEST:
-                del known[w]
+                del self.known[w]
         return out
 
 
