@@ -15,6 +15,8 @@ import heapq
 import json
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from folioforge.llm import common as C
 
-#: Words remembered by a task before it starts anew, and the longest that are.
-MEMORY, LONGEST = 600_000, 48
+#: Words remembered before the older half is given up, and the longest that are.
+MEMORY, LONGEST = 500_000, 48
 #: A point or comma between a Latin-1 letter and white space is a token of its own.
 _POINT = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
@@ -55,6 +57,16 @@ class Encoder:
         for token, k in self.tool.get_vocab().items():
             self.last[k] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, spec: str) -> Encoder:
+        """One for each vocabulary and Python worker: what a task has learned serves the worker's later tasks."""
+        held = sys.modules.setdefault("_folioforge_worker", types.ModuleType("_folioforge_worker"))
+        key = zlib.crc32(spec.encode())
+        if getattr(held, "encoder", (None,))[0] != key:
+            held.encoder = (key, cls(spec))
+        return held.encoder[1]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,8 +89,11 @@ class Encoder:
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
         split = [_POINT.sub(rb"\1 \2", x.lower()).split() for x in bodies]
         if len(self.known) > MEMORY:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
+            self.old, self.known = self.known, {}
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        new = list(new - again)
         self._learn(new)
         find = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
@@ -137,7 +152,7 @@ def pack(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, a few MB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(spec.value), TaskContext.get().partitionId() << 32
+        encoder, first = Encoder.of_worker(spec.value), TaskContext.get().partitionId() << 32
         ids: list[np.ndarray] = []
         owners: list = []
         held = 0
