@@ -227,7 +227,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, training: DataFrame, order: int = 4, alphabet: int = 48, quantile: float = 0.999, slack: float = 0.25, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, order: int = 4, alphabet: int = 48, quantile: float = 0.999, slack: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """docs' keep columns with lang_pred, score, entropy, rejected. training marks rows to learn from: a boolean column expression over docs.
 
     A document is rejected if it is `und`, or if its entropy exceeds (1 + slack) times the quantile of the training documents of its language.
