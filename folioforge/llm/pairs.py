@@ -13,15 +13,17 @@ from folioforge.llm import common as C
 
 
 def blocks(rows: DataFrame, key: str, ident: str, size: int) -> DataFrame:
-    """rows with a column `block`: any two rows of one key meet in some block, and no block has more than about 2 * size rows.
+    """rows with columns `block`, `alone`, `side`: any two rows of one key meet in some block of about 2 * size rows at most.
 
-    A key of more than size rows is dealt by a hash of ident to c shares; each two shares make a block.
+    A key of more than size rows is dealt by a hash of ident to c shares; each two shares make a block, of sides 0 and 1,
+    and each share one of its own, which is alone: two rows meet once if those of one side are compared only there.
     """
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("c"))
     dealt = rows.join(hot, key, "left")
     own = F.pmod(F.xxhash64(F.col(ident), F.lit(7)), F.col("c"))
     other = F.explode(F.when(F.col("c").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("c") - 1)))
     dealt = dealt.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
+    dealt = dealt.withColumn("alone", F.col("own") == F.col("other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
     return dealt.withColumn("block", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "c")
 
 
