@@ -100,9 +100,9 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
                 doc = np.searchsorted(off, place, "right") - 1
                 by = np.lexsort((place, item, doc))
                 place, item, seed, doc = place[by], item[by], seed[by], doc[by]
-                group = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                group = np.flatnonzero(np.append(np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
                 least = np.minimum(seeds, np.maximum(lengths - known.n + 1, 1))
-                for x, y in zip(group.tolist(), [*group[1:].tolist(), len(doc)], strict=True):
+                for x, y in zip(group.tolist(), np.append(group[1:], len(doc)).tolist(), strict=False):
                     k = int(item[x])
                     if y - x < least[k]:
                         continue
