@@ -6,7 +6,7 @@ query-centred window; a pair that collides on at least `least` is verified by it
 pair reaches with probability 1 - 1e-6: the calibrated recall of the filter.
 
 Candidates come from sorted windows: within a block, rows are sorted by the first projection and only those in the window
-of each are counted on the others. Blocks are labels, or, where a label has more than `per_block ** 2` rows, cells of several
+of each are counted on the others. Blocks are labels, or, where a label has more than `rows_per_cell` rows, cells of several
 coarse projections with random offsets, in enough tables that a pair at the threshold shares one with probability 0.99; a pair
 is counted in the first table it shares. Large blocks are dealt into bounded pairs of shares; each returns counts and
 spanning links, never all pairs.
@@ -29,6 +29,10 @@ from folioforge.llm import common as C
 from folioforge.llm import pairs as P
 
 
+#: Vectors of different sizes are kept apart: `way` is the table times this, and the size.
+SIZES = 100_003
+
+
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).normal(size=(dim, n))
 
@@ -67,22 +71,20 @@ def links(vectors: DataFrame, threshold: float, lines: int, tables: int, depth:
             out = C.mix(out * C.MULTIPLIERS[3] + grid[:, :, k].astype(np.uint64))
         return out.view(np.int64)
 
-    def unit(raw: list) -> np.ndarray:
-        x = np.array(raw, np.float64)
+    def unit(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
         x /= np.abs(x).max(axis=1, keepdims=True)
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            for size in sorted({len(v) for v in raw}):
-                at = [k for k, v in enumerate(raw) if len(v) == size]
-                cells = project(unit([raw[k] for k in at]))
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                cells = project(unit(part.column(2)))
                 for t in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([t * 100_003 + size] * len(at), pa.int64()), pa.array(cells[:, t]), batch.column(2).take(pa.array(at)).cast(pa.list_(pa.float64()))],
-                        ["vec_id", "label", "way", "cell", "embedding"],
-                    )
+                    way = pa.array(np.full(part.num_rows, t * SIZES + size), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), way, pa.array(cells[:, t]), part.column(2)], ["vec_id", "label", "way", "cell", "embedding"])
 
     kind = dict(vectors.dtypes)["label"]
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(post, f"vec_id long, label {kind}, way long, cell long, embedding array<double>")
@@ -90,40 +92,36 @@ def links(vectors: DataFrame, threshold: float, lines: int, tables: int, depth:
     dealt = P.blocks(rows, "key", "vec_id", share).select("block", "side", "alone", "way", "vec_id", F.xxhash64("label").alias("label"), "embedding")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in P.whole_blocks(batches, "block", 512):
-            block = table["block"].to_numpy()
-            cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                part = table.slice(lo, hi - lo)
-                x = unit(part["embedding"].to_pylist())
-                ids, side, label = part["vec_id"].to_numpy(), part["side"].to_numpy(), part["label"].to_numpy()
-                alone, own = bool(part["alone"][0].as_py()), int(part["way"][0].as_py()) // 100_003
-                spots = (x @ directions(x.shape[1], lines, seed)).astype(np.float32)
-                by = np.argsort(spots[:, 0], kind="stable")
-                x, ids, side, label, spots = x[by], ids[by], side[by], label[by], spots[by]
+        for whole in P.whole_blocks(batches, "block", 4096):
+            sizes = whole["way"].to_numpy() % SIZES
+            for size in np.unique(sizes).tolist():
+                table = whole.take(pa.array(np.flatnonzero(sizes == size))).combine_chunks()
+                x = unit(table["embedding"].combine_chunks())
+                spots = x @ directions(size, lines, seed)
+                by = np.lexsort((spots[:, 0], table["block"].to_numpy()))  # each block sorted by the first projection
+                x, spots = x[by], np.ascontiguousarray(spots[by].T)
+                block, ids, side, label, alone, way = (table[c].to_numpy()[by] for c in ("block", "vec_id", "side", "label", "alone", "way"))
                 cells = project(x)
-                found: list = [[], []]
-                stop = np.searchsorted(spots[:, 0], spots[:, 0] + window, "right")
-                for a in range(0, len(ids), 128):
-                    b = min(a + 128, len(ids))
-                    end = int(stop[b - 1])
-                    count = np.zeros((b - a, end - a), np.int8)
-                    for k in range(lines):
-                        count += np.abs(spots[a:b, k, None] - spots[None, a:end, k]) <= window
-                    i, j = np.nonzero(count >= need)
-                    ok = (j > i) & (label[a + i] == label[a + j])
-                    if not alone:
-                        ok &= side[a + i] != side[a + j]
-                    i, j = i[ok] + a, j[ok] + a
-                    for s in range(0, len(i), 100_000):
-                        p, q = i[s : s + 100_000], j[s : s + 100_000]
-                        first = (cells[p] == cells[q]).argmax(axis=1) == own
-                        good = first & ((x[p] * x[q]).sum(axis=1) >= threshold)
-                        found[0].append(p[good])
-                        found[1].append(q[good])
-                i, j = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+
+                def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                    ok = np.zeros(len(i), bool)
+                    at = np.flatnonzero((spots[0, j] - spots[0, i] <= window) & (label[i] == label[j]) & (alone[i] | (side[i] != side[j])))
+                    for s in range(0, len(at), 50_000):
+                        go = at[s : s + 50_000]
+                        p, q = i[go], j[go]
+                        count = np.ones(len(go), np.int8)
+                        for k in range(1, lines):
+                            count += np.abs(spots[k, p] - spots[k, q]) <= window
+                            if k in (5, 10):  # those that can't reach the count any more leave
+                                stay = count >= need - (lines - 1 - k)
+                                go, p, q, count = go[stay], p[stay], q[stay], count[stay]
+                        stay = count >= need
+                        go, p, q = go[stay], p[stay], q[stay]
+                        first = (cells[p] == cells[q]).argmax(axis=1) == way[p] // SIZES
+                        ok[go[first & ((x[p] * x[q]).sum(axis=1) >= threshold)]] = True
+                    return ok
+
+                i, j = P.linked(block, near)
                 if not len(i):
                     continue
                 n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
@@ -134,7 +132,7 @@ def links(vectors: DataFrame, threshold: float, lines: int, tables: int, depth:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "vec_id long, n long, root long")
 
 
-def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 16, per_block: int = 256, share: int = 256, seed: int = 7) -> DataFrame:
+def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 16, rows_per_cell: int = 400, share: int = 256, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
     C.small_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -142,8 +140,8 @@ def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 16, per_
     vectors = usable(rows).dropDuplicates(["row"])
     most = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     depth, tables = 0, 1
-    if most > per_block**2:
-        depth = max(1, math.ceil(math.log(most / per_block**2) / math.log(1.8)))
+    if most > rows_per_cell:
+        depth = max(1, math.ceil(math.log(most / rows_per_cell) / math.log(1.8)))
         tables = math.ceil(math.log(0.01) / math.log(1 - 0.8**depth))  # a pair at the threshold shares a cell of width 4 delta with probability 0.8
     found = C.written(links(vectors, threshold, lines, tables, depth, share, seed), "links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
