@@ -14,9 +14,9 @@ from __future__ import annotations
 import heapq
 import json
 import os
-import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +29,6 @@ from folioforge.llm import common as C
 
 #: Words remembered before the older half is given up, and the longest that are.
 MEMORY, LONGEST = 500_000, 48
-#: A point or comma between a Latin-1 letter and white space is a token of its own.
-_POINT = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,22 +38,27 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts. White space ends every token and case is lost, so lower-case words are encoded once and remembered.
+    """Ids of texts. Where a vocabulary has word ends and small letters only, words are encoded once and remembered.
 
-    New words of letters alone are encoded as one text and told apart by their last tokens, which bear the word-end suffix;
+    New words of Latin letters alone are encoded as one text and told apart by their last tokens, which bear the word-end suffix;
     if the number of those isn't the number of words, each word is encoded by itself. Other words always are.
     """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_str(spec)
         self.tool.encode_special_tokens = True
+        self.plain = Tokenizer.from_str(spec)  # for composed small letters between spaces: nothing to normalise or split
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = json.loads(spec)["model"].get("end_of_word_suffix")
         self.last = np.zeros(self.tool.get_vocab_size(), bool)
         for token, k in self.tool.get_vocab().items():
             self.last[k] = bool(suffix) and token.endswith(suffix)
+        self.wordwise = bool(suffix) and "Lowercase" in json.dumps(json.loads(spec)["normalizer"])
+        self.points = {p: self._encode(self.tool, [chr(p)])[0].tobytes() for p in b".,"}
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -68,15 +71,15 @@ class Encoder:
             held.encoder = (key, cls(spec))
         return held.encoder[1]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, tool, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        plain = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)]
         for a in range(0, len(plain), 20_000):
             part = plain[a : a + 20_000]
-            ids = self._encode([" ".join([texts[k] for k in part])])[0]
+            ids = self._encode(self.plain, [unicodedata.normalize("NFC", " ".join([texts[k] for k in part])).lower()])[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
                 raw, stops = ids.tobytes(), (ends * 4).tolist()
@@ -84,22 +87,28 @@ class Encoder:
         rest = [k for k, w in enumerate(words) if w not in self.known]
         for a in range(0, len(rest), 5_000):
             part = rest[a : a + 5_000]
-            self.known.update(zip([words[k] for k in part], [x.tobytes() for x in self._encode([texts[k] for k in part])], strict=True))
+            self.known.update(zip([words[k] for k in part], [x.tobytes() for x in self._encode(self.tool, [texts[k] for k in part])], strict=True))
 
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        split = [_POINT.sub(rb"\1 \2", x.lower()).split() for x in bodies]
+        if not self.wordwise:
+            return self._encode(self.tool, [x.decode("utf-8", "replace") for x in bodies])
+        split = [x.lower().split() for x in bodies]
         if len(self.known) > MEMORY:
             self.old, self.known = self.known, {}
         new = set().union(*split).difference(self.known)
         again = new.intersection(self.old)
-        self.known.update((w, self.old[w]) for w in again)
-        new = list(new - again)
-        self._learn(new)
-        find = self.known.__getitem__
+        known = self.known
+        known.update((w, self.old[w]) for w in again)
+        new -= again
+        ended = {w for w in new if w[-1] in b".," and w[:-1].isalpha()}  # letters and a point or comma: two tokens' worth
+        stems = {w[:-1] for w in ended}.difference(known)
+        self._learn([*stems.difference(new), *(new - ended)])
+        known.update((w, known[w[:-1]] + self.points[w[-1]]) for w in ended)
+        find = known.__getitem__
         out = [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
         for w in new:
             if len(w) > LONGEST:
-                del self.known[w]
+                del known[w]
         return out
 
 
