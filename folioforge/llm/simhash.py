@@ -64,16 +64,19 @@ def fingerprints(docs: DataFrame, shingle: int, n_words: int = 1) -> DataFrame:
 
 
 def position_pairs(n_bytes: int, distance: int) -> list[tuple[int, int]]:
-    """Disjoint neighbours where they lose nothing (distance below n_bytes / 2), else eight more rounds of pairings by a fixed rule."""
+    """Disjoint neighbours where they lose nothing (distance below n_bytes / 2), else four pairs for each position by a fixed rule.
+
+    With 16 bytes and a bit differing with probability 0.15 (similarity 0.8), a pair agrees with probability 0.072, one of 64 with 0.99.
+    """
     if distance < n_bytes // 2:
         return [(k, k + 1) for k in range(0, n_bytes, 2)]
-    return [(k, (k + step) % n_bytes) for step in (1, 2, 3, 5, 7, 11, 13) for k in range(n_bytes)][: 6 * n_bytes]
+    return [(k, (k + step) % n_bytes) for step in (1, 3, 5, 7) for k in range(n_bytes)]
 
 
 def links(prints: DataFrame, distance: int, least: int | None = None, share: int = SHARE) -> DataFrame:
     """Spanning links (a, b) over the node ids of prints (node, fp), fp all different."""
     n_bytes = len((prints.select("fp").first() or [b"\0" * 8])[0])
-    least = max(n_bytes - distance, 2) if least is None else least
+    least = max(n_bytes - distance, 2) if least is None else least  # a shared pair is two
     ways = position_pairs(n_bytes, distance)
     post = prints.select("node", "fp", F.posexplode(F.array(*[F.concat(F.substring("fp", a + 1, 1), F.substring("fp", b + 1, 1)) for a, b in ways])).alias("way", "bytes"))
     post = post.select("node", "fp", F.xxhash64("way", "bytes").alias("key"))
