@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.udf import arrow
+
 GENERIC = ("Slide ", "Page ")
 CHUNK_TYPE = "array<struct<index:int,content:string,headings:array<string>,tokens:int,start:int,end:int,overlap:int,span_kind:string,span_from:int,span_to:int>>"
 
@@ -144,6 +146,8 @@ def overlap(content: str, chunks: list[Chunk], want: int) -> list[Chunk]:
 
 def span_of(segments: list[tuple[int, str, int, int]], start: int, end: int) -> tuple[str, int, int] | None:
     """Kind and range of the segments (start, kind, from, to) that overlap [start, end)."""
+    if not segments:
+        return None
     nexts = [s[0] for s in segments[1:]] + [1 << 62]
     hit = [s for s, n in zip(segments, nexts, strict=True) if s[0] < end and n > start]
     return (hit[0][1], min(s[2] for s in hit), max(s[3] for s in hit)) if hit else None
@@ -238,12 +242,12 @@ def paragraphs(text: str) -> str:
     return "".join(out)
 
 
-chunk_udf = F.udf(lambda c, target, want: None if c is None else [tuple(r.values()) for r in chunk(c, target, want)], CHUNK_TYPE, useArrow=True)
-normalize_udf = F.udf(lambda c: None if c is None else normalize(c)[0], "string", useArrow=True)
-title_udf = F.udf(lambda h, c, f: local_title(h, c or "", f or ""), "string", useArrow=True)
-summary_udf = F.udf(lambda c: None if c is None else local_summary(c), "string", useArrow=True)
-paragraphs_udf = F.udf(lambda c: None if c is None else paragraphs(c), "string", useArrow=True)
-wrapper_udf = F.udf(lambda c: None if c is None else strip_wrapper(c), "string", useArrow=True)
+chunk_udf = arrow(lambda c, target, want: None if c is None else [tuple(r.values()) for r in chunk(c, target, want)], CHUNK_TYPE)
+normalize_udf = arrow(lambda c: None if c is None else normalize(c)[0], "string")
+title_udf = arrow(lambda h, c, f: local_title(h, c or "", f or ""), "string")
+summary_udf = arrow(lambda c: None if c is None else local_summary(c), "string")
+paragraphs_udf = arrow(lambda c: None if c is None else paragraphs(c), "string")
+wrapper_udf = arrow(lambda c: None if c is None else strip_wrapper(c), "string")
 
 
 def normalize_plain(c: Column) -> Column:

@@ -11,13 +11,14 @@ WORD = r"(?:\p{L}(?:['’.:·]\p{L})*|\p{N}(?:[.,;'’]\p{N})*|_|\p{M})+"
 # Entity names and what they stand for; nbsp is a plain space.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "copy": "©", "reg": "®", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "euro": "€", "amp": "&"}
 
-# ISO 639-3 to BCP 47.
-BCP47 = dict(x.split(":") for x in (
-    "afr:af aka:ak amh:am ara:ar aze:az bel:be ben:bn bul:bg cat:ca ces:cs cmn:zh dan:da deu:de ell:el eng:en epo:eo est:et fin:fi fra:fr guj:gu "
-    "heb:he hin:hi hrv:hr hun:hu hye:hy ind:id ita:it jav:jv jpn:ja kan:kn kat:ka khm:km kor:ko lat:la lav:lv lit:lt mal:ml mar:mr mkd:mk mya:my "
-    "nep:ne nld:nl nob:nb ori:or pan:pa pes:fa pol:pl por:pt ron:ro rus:ru sin:si slk:sk slv:sl sna:sn spa:es srp:sr swe:sv tam:ta tel:te tgl:tl "
-    "tha:th tuk:tk tur:tr ukr:uk urd:ur uzb:uz vie:vi yid:yi zul:zu"
-).split())
+# ISO 639-3 codes and their BCP 47 tags; others stay as they are.
+BCP47 = dict(x.split(":") for x in """
+eng:en fra:fr deu:de spa:es por:pt ita:it nld:nl rus:ru ukr:uk pol:pl ces:cs slk:sk slv:sl hrv:hr srp:sr bul:bg ron:ro hun:hu fin:fi swe:sv
+dan:da nob:nb isl:is est:et lav:lv lit:lt ell:el tur:tr ara:ar heb:he pes:fa urd:ur hin:hi ben:bn pan:pa guj:gu mar:mr tam:ta tel:te kan:kn
+mal:ml ori:or sin:si nep:ne tha:th vie:vi ind:id msa:ms tgl:tl jpn:ja kor:ko cmn:zh zho:zh khm:km mya:my kat:ka hye:hy aze:az kaz:kk uzb:uz
+bel:be mkd:mk cat:ca eus:eu glg:gl afr:af swh:sw zul:zu xho:xh yor:yo ibo:ig hau:ha amh:am som:so epo:eo lat:la yid:yi jav:jv sna:sn aka:ak
+tuk:tk cym:cy gle:ga sqi:sq
+""".split())
 
 
 def trim_unicode(c: Column) -> Column:

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000]
 
 
+def epoch_ms(c: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def requests(events: DataFrame) -> DataFrame:
     """events as a request log."""
     failed = F.col("event_type") == "error"
     return events.select(
-        F.col("event_id").alias("seq"), F.unix_millis("ts").alias("created_at"), F.col("event_type").alias("operation"), F.concat(F.lit("u"), F.col("user_id")).alias("requester_id"),
+        F.col("event_id").alias("seq"), epoch_ms(F.col("ts")).alias("created_at"), F.col("event_type").alias("operation"), F.concat(F.lit("u"), F.col("user_id")).alias("requester_id"),
         F.col("value").alias("duration_ms"), "props", F.when(failed, "failed").otherwise("completed").alias("execution_status"),
     )
 

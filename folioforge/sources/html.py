@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import functions as F
+from folioforge.functions.udf import arrow
 
 SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "object", "embed", "canvas", "button", "select"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "area", "base", "col", "wbr"}
@@ -144,4 +144,4 @@ def convert(html: str) -> tuple[str, str, list[str]]:
     return body + "\n" if body else "", re.sub(r"\s+", " ", reader.title).strip(), reader.links
 
 
-convert_udf = F.udf(lambda h: None if h is None else convert(h), "struct<content:string,title:string,links:array<string>>", useArrow=True)
+convert_udf = arrow(lambda h: None if h is None else convert(h), "struct<content:string,title:string,links:array<string>>")
