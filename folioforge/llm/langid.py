@@ -31,7 +31,7 @@ OTHER, FIRST = 1, 2
 
 @dataclass
 class Model:
-    """keys[k]: sorted n-gram codes of order k + 1; logp[k], back[k]: a row for each key, a column for each language."""
+    """keys[k]: sorted n-gram codes of order k + 1; logp[k], back[k]: a row for each key, a column for each language. floor: of characters never seen."""
 
     languages: list[str]
     letters: np.ndarray
@@ -40,6 +40,7 @@ class Model:
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     back: list[np.ndarray]
+    floor: np.ndarray
 
     def table(self) -> np.ndarray:
         return code_table(self.letters)
@@ -57,7 +58,7 @@ class Model:
         if len(lost):
             own = grams[lost]
             if k == 0:
-                out[lost] = np.log(1.0 / self.alphabet)
+                out[lost] = self.floor
             else:
                 out[lost] = self.lookup(own % self.alphabet**k, k - 1)
                 context, up = own // self.alphabet, self.keys[k - 1]
@@ -141,7 +142,8 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], letters: np.nda
                 lower = probs[k - 1][1][np.searchsorted(probs[k - 1][0], grams % alphabet**k)]
             probs.append((grams, (n - discount) / total[at] + weight[at] * lower, contexts, np.log(weight)))
         per[lang] = probs
-    model = Model(languages, letters, alphabet, order, [], [], [])
+    floor = np.array([np.log(1.0 / alphabet) + per[x][0][3][0] for x in languages])
+    model = Model(languages, letters, alphabet, order, [], [], [], floor)
     for k in range(order):
         keys = np.unique(np.concatenate([per[x][k][0] for x in languages]))
         if k + 1 < order:
@@ -160,12 +162,12 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], letters: np.nda
             logp[seen, j] = np.log(p[at[seen]])
             lost = keys[~seen]
             if k == 0:
-                logp[~seen, j] = np.log(1.0 / alphabet) + per[lang][0][3][0]
+                logp[~seen, j] = floor[j]
             else:
                 up = np.searchsorted(model.keys[k - 1], lost % alphabet**k)
                 up = np.minimum(up, len(model.keys[k - 1]) - 1)
                 hit = model.keys[k - 1][up] == lost % alphabet**k
-                value = np.where(hit, model.logp[k - 1][up, j], np.log(1.0 / alphabet))
+                value = np.where(hit, model.logp[k - 1][up, j], floor[j])
                 ctx = np.minimum(np.searchsorted(model.keys[k - 1], lost // alphabet), len(model.keys[k - 1]) - 1)
                 has = model.keys[k - 1][ctx] == lost // alphabet
                 logp[~seen, j] = value + np.where(has, model.back[k - 1][ctx, j], 0.0)
