@@ -37,6 +37,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _latin(text: str) -> bool:
+    """Latin letters alone, of which each has one small letter."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text)
+
+
 class Encoder:
     """Ids of texts. Where a vocabulary has word ends and small letters only, words are encoded once and remembered.
 
@@ -76,14 +81,14 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)]
-        for a in range(0, len(plain), 20_000):
-            part = plain[a : a + 20_000]
-            ids = self._encode(self.plain, [unicodedata.normalize("NFC", " ".join([texts[k] for k in part])).lower()])[0]
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, stops = ids.tobytes(), (ends * 4).tolist()
-                self.known.update(zip([words[k] for k in part], [raw[x:y] for x, y in zip([0, *stops], stops)], strict=True))  # noqa: B905
+        plain = [k for k, t in enumerate(texts) if _latin(t)]
+        parts = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
+        joined = [unicodedata.normalize("NFC", " ".join([texts[k] for k in part])).lower() for part in parts]
+        for part, ids in zip(parts, self._encode(self.plain, joined), strict=True):
+            stops = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                self.known.update(zip([words[k] for k in part], [raw[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True))
         rest = [k for k, w in enumerate(words) if w not in self.known]
         for a in range(0, len(rest), 5_000):
             part = rest[a : a + 5_000]
@@ -100,7 +105,7 @@ class Encoder:
         known = self.known
         known.update((w, self.old[w]) for w in again)
         new -= again
-        ended = {w for w in new if w[-1] in b".," and w[:-1].isalpha()}  # letters and a point or comma: two tokens' worth
+        ended = {w for w in new if w[-1] in b".," and (w[:-1].isalpha() or _latin(w[:-1].decode("utf-8", "replace")))}  # letters, then a token for the point or comma
         stems = {w[:-1] for w in ended}.difference(known)
         self._learn([*stems.difference(new), *(new - ended)])
         known.update((w, known[w[:-1]] + self.points[w[-1]]) for w in ended)
