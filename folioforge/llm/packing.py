@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from folioforge.llm import common as C
 
 #: Words remembered before the older half is given up, and the longest that are.
-MEMORY, LONGEST = 500_000, 48
+MEMORY, LONGEST = 600_000, 48
+#: Bytes of text encoded at a time.
+AT_ONCE = 12_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -117,6 +119,23 @@ class Encoder:
         return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of about size bytes at a time: the more there are, the more words are shared."""
+    doc_ids: list = []
+    bodies: list[bytes] = []
+    total = 0
+    for batch in batches:
+        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            doc_ids.append(doc_id)
+            bodies.append(body.as_py())
+            total += len(bodies[-1])
+            if total >= size:
+                yield doc_ids, bodies
+                doc_ids, bodies, total = [], [], 0
+    if bodies:
+        yield doc_ids, bodies
+
+
 def cost(length: int, quadratic: float) -> float:
     return length + quadratic * length * length
 
@@ -186,15 +205,11 @@ def pack(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int
             columns = [pa.array(v, pa.int64()) for v in rows[:7]]
             return pa.RecordBatch.from_arrays(columns + [pa.array(rows[7], pa.list_(pa.int32()))] * with_ids, names[: 7 + with_ids])
 
-        for batch in batches:
-            bodies = [x.as_py() for x in batch.column(1)]
-            doc_ids = batch.column(0).to_pylist()
-            sizes = np.append(0, np.cumsum([len(x) for x in bodies]))
-            for a, b in C.chunks(sizes, 2_000_000):
-                for doc_id, own in zip(doc_ids[a:b], encoder.encode(bodies[a:b]), strict=True):
-                    ids.append(np.append(own, np.uint32(end_id)).astype("<u4"))
-                    owners.append(doc_id)
-                    held += len(ids[-1])
+        for doc_ids, bodies in gathered(batches):
+            for doc_id, own in zip(doc_ids, encoder.encode(bodies), strict=True):
+                ids.append(np.append(own, np.uint32(end_id)).astype("<u4"))
+                owners.append(doc_id)
+                held += len(ids[-1])
                 if held >= block:
                     yield flush()
                     ids, owners, held = [], [], 0
