@@ -49,6 +49,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Keys that join_counted may broadcast at most: a few MB.
+HOT_KEYS = 50_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows, a written table of total rows, with counted: a row for each key with n, the number of rows that have it.
+
+    Keys of more than total / HOT_KEYS rows, of which there are fewer than HOT_KEYS, are broadcast, so no task gathers such a
+    key's rows; the others are shuffled.
+    """
+    most = max(1000, total // HOT_KEYS)
+    hot, cold = counted.filter(F.col("n") > most), counted.filter(F.col("n") <= most)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rk, ord, doc_id, body): rows that agree in id and text share rk; ord orders ids with null last; body is UTF-8, null as empty."""
     small_batches(docs.sparkSession)

@@ -26,8 +26,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]
 
 def _named(rows: DataFrame, parts: list[str]) -> DataFrame:
     """rows (rk, ord, pos) whose parts occur more than once, with `rank`: the earliest place with the same parts."""
-    ranks = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos", "rk")).alias("rank")).filter("n > 1").drop("n")
-    return rows.join(ranks, parts).select("rk", "ord", "pos", "rank")
+    rows = C.written(rows, "suffixes")
+    ranks = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos", "rk")).alias("rank")).filter("n > 1")
+    return C.join_counted(rows, ranks, parts, rows.count()).select("rk", "ord", "pos", "rank")
 
 
 def ranked(lines: DataFrame, min_lines: int) -> DataFrame:

@@ -162,9 +162,9 @@ def spans(docs: DataFrame, length: int = 400, keep: str = "first", largest: int
     same = table.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "lo", "rk", "hi")).alias("rep"))
     classes = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     first = keep == "first"
-    twice = same.filter("n > 1").select("anchor", "whole", "rep")
+    twice = same.filter("n > 1").select("anchor", "whole", "n", "rep")
     of = (F.col("rep.ord") == F.col("ord")) & (F.col("rep.lo") == F.col("lo")) & (F.col("rep.rk") == F.col("rk"))
-    whole = table.join(twice, ["anchor", "whole"]).filter(~of if first else F.lit(True)).select("rk", "lo", "hi")
+    whole = C.join_counted(table, twice, ["anchor", "whole"], table.count()).filter(~of if first else F.lit(True)).select("rk", "lo", "hi")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
