@@ -114,3 +114,28 @@ def webhook_wait_s(attempt: Column, base: int = 30) -> Column:
 
 def image_id(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def location(kind: Column, first: Column, last: Column) -> Column:
+    """slide 3, pages 1-8."""
+    return F.when(first == last, F.concat(kind, F.lit(" "), first.cast("string"))).otherwise(F.concat(kind, F.lit("s "), first.cast("string"), F.lit("-"), last.cast("string")))
+
+
+def clean_alt(c: Column) -> Column:
+    """Alternative text on one line, without brackets and private-use marks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\\[\\]-]", ""), r"\s+", " "))
+
+
+def memory_estimate(size: Column, multiplier: Column) -> Column:
+    """Bytes to reserve for a conversion; an unknown size counts as 8 MiB."""
+    return (F.coalesce(size, F.lit(8 << 20)) * multiplier + (256 << 10)).cast("long")
+
+
+def mime(kind: Column) -> Column:
+    table = {
+        "markdown": "text/markdown", "text": "text/plain", "html": "text/html", "pdf": "application/pdf", "png": "image/png", "jpeg": "image/jpeg", "webp": "image/webp",
+        "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "odt": "application/vnd.oasis.opendocument.text",
+        "ods": "application/vnd.oasis.opendocument.spreadsheet", "odp": "application/vnd.oasis.opendocument.presentation", "epub": "application/epub+zip",
+    }
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), kind)

@@ -119,3 +119,35 @@ def aimd(calls: DataFrame, by: str, order: str, throttled: str, start: float = 8
         s["good"] + 1 >= 20, F.struct(F.least(s["limit"] + 1, F.lit(top_limit)).alias("limit"), F.lit(0).alias("good"))
     ).otherwise(F.struct(s["limit"].alias("limit"), (s["good"] + 1).alias("good")))
     return calls.groupBy(by).agg(F.aggregate(seq, zero, step)["limit"].alias("call_limit"))
+
+
+def smoothed_rate(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """rate = rate / 2 + value / 2, in order, from 0."""
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    return rows.groupBy(by).agg(F.aggregate(seq, F.lit(0.0), lambda a, v: a * 0.5 + v * 0.5).alias("rate"))
+
+
+def commit_batches(ops: DataFrame, by: str, order: str, size: int = 500) -> DataFrame:
+    """The batch of each operation of a writer: up to size in order."""
+    return ops.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+
+
+def lanes(jobs: DataFrame, by: str, low: Column, order: str) -> DataFrame:
+    """The place of each job in its queue: the normal lane before the low one."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(low.cast("int"), order)).cast("long"))
+
+
+def stage_events(timings: DataFrame, key: str, optional: list[str], always: list[str], failed: Column) -> DataFrame:
+    """A row for each stage that ran (optional ones only if they took time), and a last one, done or failed."""
+    steps = [F.struct(F.lit(s).alias("stage"), F.lit("completed").alias("event"), F.col(s).alias("ms"), F.lit(n).alias("at")) for n, s in enumerate([*optional[:1], *always, *optional[1:]])]
+    kept = F.filter(F.array(*steps), lambda x: (x["ms"] > 0) | x["stage"].isin(*always))
+    last = F.struct(F.when(failed, "processing").otherwise("done").alias("stage"), F.when(failed, "failed").otherwise("completed").alias("event"), F.lit(None).cast("long").alias("ms"), F.lit(99).alias("at"))
+    return timings.select(key, F.explode(F.concat(kept, F.array(last))).alias("e")).select(key, "e.stage", "e.event", "e.ms")
+
+
+def delivery(http_status: Column, network_error: Column, attempt: Column, attempts: int = 6, forget: Column | None = None) -> Column:
+    """delivered, retry, failed; or sent and failed where nobody waits for an answer."""
+    ok = http_status.between(200, 299) & ~network_error
+    again = network_error | (http_status == 429) | (http_status >= 500)
+    waited = F.when(ok, "delivered").when(again & (attempt < attempts), "retry").otherwise("failed")
+    return waited if forget is None else F.when(forget, F.when(network_error, "failed").otherwise("sent")).otherwise(waited)

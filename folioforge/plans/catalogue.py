@@ -482,3 +482,97 @@ def redacted(df):
 @query("part", "SELECT p_partkey, length('x' || p_name) + length(CAST(length('x' || p_name) + 4 AS VARCHAR)) AS size FROM part".replace("length('x' || p_name) + length(CAST(length('x' || p_name) + 4 AS VARCHAR))", "CAST(length('x' || p_name) + length(CAST(length('x' || p_name) + length(CAST(length('x' || p_name) AS VARCHAR)) AS VARCHAR)) AS BIGINT)"))
 def self_sized(df):
     return df.select("p_partkey", V.self_size(F.length(F.concat(F.lit("x"), "p_name"))).cast("long").alias("size"))
+
+
+# More of the log: folds, batches, lanes, stages, deliveries, sessions
+
+
+@query("events", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(value * pow(0.5, n - i + 1)), 4) AS rate FROM r GROUP BY 1")
+def log_smoothed_rate(df):
+    return L.smoothed_rate(df, "user_id", "event_id", "value").select("user_id", F.round("rate", 4).alias("rate"))
+
+
+@query("events", "SELECT event_type, batch, count(*) AS n FROM (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS batch FROM events) GROUP BY 1, 2")
+def log_commit_batches(df):
+    return L.commit_batches(df, "event_type", "event_id").groupBy("event_type", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("events", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view', event_id) AS place FROM events")
+def log_lanes(df):
+    return L.lanes(df, "user_id", F.col("event_type") == "view", "event_id").select("event_id", "user_id", "place")
+
+
+@query("events", """WITH t AS (SELECT event_id, event_id % 3 AS "fetch", event_id % 5 AS extraction, event_id % 7 AS storage, event_type = 'error' AS bad FROM events WHERE event_id < 2000),
+t2 AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 4 END AS queue, "fetch", extraction, storage, bad FROM t)
+SELECT event_id, 'queue' AS stage, 'completed' AS event, CAST(queue AS BIGINT) AS ms FROM t2 WHERE queue > 0 UNION ALL SELECT event_id, 'fetch', 'completed', "fetch" FROM t2 UNION ALL SELECT event_id, 'extraction', 'completed', extraction FROM t2
+UNION ALL SELECT event_id, 'storage', 'completed', storage FROM t2 WHERE storage > 0 UNION ALL SELECT event_id, CASE WHEN bad THEN 'processing' ELSE 'done' END, CASE WHEN bad THEN 'failed' ELSE 'completed' END, NULL FROM t2""")
+def log_stage_events(df):
+    e = F.col("event_id")
+    t = df.filter("event_id < 2000").select("event_id", "event_type", F.when(e % 2 == 0, 0).otherwise(4).cast("long").alias("queue"), (e % 3).alias("fetch"), (e % 5).alias("extraction"), (e % 7).alias("storage"))
+    return L.stage_events(t, "event_id", ["queue", "storage"], ["fetch", "extraction"], F.col("event_type") == "error")
+
+
+@query("events", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'sent' END WHEN event_id % 7 <> 0 AND event_id % 4 = 0 THEN 'delivered' WHEN (event_id % 7 = 0 OR event_id % 4 IN (1, 2)) AND event_id % 6 + 1 < 6 THEN 'retry' ELSE 'failed' END AS outcome FROM events")
+def log_delivery(df):
+    e = F.col("event_id")
+    status = F.get(F.array(*map(F.lit, (200, 429, 503, 404))), e % 4)
+    return df.select("event_id", L.delivery(status, e % 7 == 0, e % 6 + 1, forget=e % 11 == 0).alias("outcome"))
+
+
+@query("events", "WITH g AS (SELECT user_id, ts, CAST(lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR AS INT) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def log_sessions(df):
+    return ST.sessions(df, "6 hours", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("events", "SELECT 'requests_total{operation=\"' || event_type || '\",status=\"' || CASE WHEN value > 50 THEN 'slow' ELSE 'fast' END || '\"} ' || count(*) AS line FROM events GROUP BY event_type, value > 50")
+def metrics_lines(df):
+    counts = df.groupBy("event_type", F.when(F.col("value") > 50, "slow").otherwise("fast").alias("status")).agg(F.count(F.lit(1)).alias("value"))
+    return K.exposition(counts.select(F.create_map(F.lit("operation"), "event_type", F.lit("status"), "status").alias("labels"), "value"), "requests_total")
+
+
+@query("events", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 10 + 5 + 2 ELSE 10 END::BIGINT AS tokens_in, CASE event_id % 3 WHEN 0 THEN 20 + 3 WHEN 1 THEN 20 END::BIGINT AS tokens_out FROM events")
+def llm_usage(df):
+    raw = ['{"promptTokenCount":10,"candidatesTokenCount":20,"thoughtsTokenCount":3}', '{"input_tokens":10,"cache_read_input_tokens":5,"cache_creation_input_tokens":2,"output_tokens":20}', '{"prompt_tokens":10}']
+    k = F.col("event_id") % 3
+    tokens_in, tokens_out = J.usage(F.get(F.array(*map(F.lit, ("gemini", "anthropic", "openai"))), k), F.get(F.array(*map(F.lit, raw)), k))
+    return df.select("event_id", tokens_in.alias("tokens_in"), tokens_out.alias("tokens_out"))
+
+
+@query("events", "SELECT event_id, props AS object, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_from_answer(df):
+    answer = F.concat(F.lit("Sure, here it is: "), "props", F.lit(" -- done"))
+    made = df.select("event_id", J.object_in(answer).alias("object"))
+    return made.withColumn("k", J.lookup(F.col("object"), "k").try_cast("long"))
+
+
+@query("lineitem", "SELECT l_orderkey, CASE WHEN min(l_linenumber) = max(l_linenumber) THEN 'page ' || min(l_linenumber) ELSE 'pages ' || min(l_linenumber) || '-' || max(l_linenumber) END AS label FROM lineitem GROUP BY 1")
+def page_labels(df):
+    spans = df.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+    return spans.select("l_orderkey", X.location(F.lit("page"), F.col("a"), F.col("b")).alias("label"))
+
+
+@query("documents", "SELECT doc_id, CAST(strlen(text) * 4 + 262144 AS BIGINT) AS memory, 'text/plain' AS mime FROM documents")
+def doc_memory(df):
+    return df.select("doc_id", X.memory_estimate(F.octet_length("text"), F.lit(4)).alias("memory"), X.mime(F.lit("text")).alias("mime"))
+
+
+@query("conversations", "SELECT conv_id, string_agg(part, chr(10) || chr(10) ORDER BY b) AS body FROM (SELECT conv_id, (turn // 3) AS b, string_agg(role, ' ' ORDER BY turn) AS part FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def conv_batches_joined(df):
+    parts = df.groupBy("conv_id", F.expr("turn div 3").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), " ").alias("part"))
+    return parts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n\n").alias("body"))
+
+
+@query("conversations", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) - 10) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM conversations")
+def conv_offset_shift(df):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("conv_id", "turn", F.coalesce(F.sum(F.length("text") - 10).over(w), F.lit(0)).alias("shift"))
+
+
+@query("pages", "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) AS alt FROM pages")
+def page_alt(df):
+    return df.select("page_id", X.clean_alt(F.concat(F.lit("["), "url", F.lit("]"))).alias("alt"))
+
+
+@query("part", "SELECT p_brand, count(DISTINCT p_type) AS images, count(*) - count(DISTINCT p_type) AS repeats FROM part GROUP BY 1")
+def image_dedupe(df):
+    return df.groupBy("p_brand").agg(F.countDistinct("p_type").alias("images"), (F.count(F.lit(1)) - F.countDistinct("p_type")).alias("repeats"))
