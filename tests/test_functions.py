@@ -120,3 +120,21 @@ def test_stream_of_jobs(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         jobs.run(jobs.source(spark, str(tmp_path / "in"), rows.schema), lambda df, n: seen.extend(r.job_id for r in df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert seen == [2, 1]
+
+
+def test_cursors_and_signatures(spark):
+    from folioforge.operators import oplog, signing
+
+    log, seen, token = spark.range(1, 31).withColumnRenamed("id", "seq"), [], None
+    while True:
+        high, last = signing.opened(token, {"a": 1}, b"k") if token else (30, None)
+        page = [r.seq for r in oplog.keyset_page(log, 7, high, last).collect()]
+        seen += page[:7]
+        if len(page) <= 7:
+            break
+        token = signing.cursor(high, page[6], {"a": 1}, b"k")
+    assert seen == list(range(30, 0, -1))
+    for bad, filters in ((token, {"a": 2}), (token[:-2] + "xx", {"a": 1}), ("", {"a": 1})):
+        with pytest.raises(ValueError):
+            signing.opened(bad, filters, b"k")
+    assert signing.signature(1, b"x", b"k").startswith("sha256=") and signing.signature(1, b"x", b"k") != signing.signature(2, b"x", b"k")
