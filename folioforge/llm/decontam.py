@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are runs of characters other than white space and ASCII punctuation, A-Z lowered. Every n-gram of an item is looked
 up in every document; where at least `seeds` different ones of an item fall within a window of twice the item's length, the
-densest such window is a candidate. The corpus counts of the seeds are taken over all documents; an item's rarer half (at
-least `rare` of them) decides which candidates are aligned, so common phrases don't. An item whose seeds are all frequent,
-because its copies are, keeps its rarer half all the same: rarity is judged within the item.
+densest such window is a candidate. Every candidate is aligned, however common its seeds are: an edited copy may keep only
+those.
 
 A document is contaminated by an item if their local alignment reaches `share` of the item's full score. Items of fewer
 words than n are found only as whole runs of their words. The items are broadcast up to `bound` bytes; a longer benchmark
@@ -78,11 +77,11 @@ class Items:
         return np.repeat(at[some], n), self.owner[seed], seed
 
 
-CANDIDATE = "rk long, doc_id long, item_id long, seeds array<long>, lo int, passage binary"
+CANDIDATE = "rk long, doc_id long, item_id long, lo int, passage binary"
 
 
 def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
-    """Candidate windows of docs (rk, doc_id, body): the different seeds in them, their first word and word hashes."""
+    """Candidate windows of docs (rk, doc_id, body): their first word and word hashes."""
     shared = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.grams, items.owner, items.short, items.n))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +89,7 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
         known.ids, known.words, known.grams, known.owner, known.short, known.n = shared.value
         lengths = np.array([len(w) for w in known.words])
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             rk, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             bodies = [x.as_py() for x in batch.column(2)]
             sizes = np.append(0, np.cumsum([len(x) for x in bodies]))
@@ -114,7 +113,7 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
                         continue
                     d = int(doc[x])
                     lo, hi = max(int(off[d]), int(own[best]) - int(lengths[k])), min(int(off[d + 1]), int(own[best]) + 2 * span)
-                    for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], found.tolist(), lo - int(off[d]), hashes[lo:hi].tobytes())):
+                    for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], lo - int(off[d]), hashes[lo:hi].tobytes())):
                         out[q].append(v)
                 for n, which in known.short.items():
                     runs, at = C.window_hashes(hashes, off, n)
@@ -122,35 +121,26 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
                         want = C.window_hashes(known.words[k], np.array([0, n]), n)[0][0]
                         for p in at[runs == want]:
                             d = int(np.searchsorted(off, p, "right") - 1)
-                            for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], [], int(p - off[d]), hashes[p : p + n].tobytes())):
+                            for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], int(p - off[d]), hashes[p : p + n].tobytes())):
                                 out[q].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["rk", "doc_id", "item_id", "seeds", "lo", "passage"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["rk", "doc_id", "item_id", "lo", "passage"])
 
     return docs.select("rk", "doc_id", "body").mapInArrow(scan, CANDIDATE)
 
 
-def _part(docs: DataFrame, rows: list, n: int, seeds: int, rare: int, share: float) -> DataFrame:
+def _part(docs: DataFrame, rows: list, n: int, seeds: int, share: float) -> DataFrame:
     items = Items([r["item_id"] for r in rows], [(r["text"] or "").encode() for r in rows], n)
     spark = docs.sparkSession
     found = C.written(candidates(docs, items, seeds), "candidates")
-    counts = {r["seed"]: r["n"] for r in found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each n-gram of the benchmark
-    kept: dict[int, list[int]] = {}
-    for k in range(len(items.ids)):
-        own = sorted(np.flatnonzero(items.owner == k).tolist(), key=lambda s: (counts.get(s, 0), s))
-        kept[items.ids[k]] = own[: max(rare, -(-len(own) // 2))]
-    words = dict(zip(items.ids, items.words, strict=True))
-    shared = spark.sparkContext.broadcast((kept, words))
+    shared = spark.sparkContext.broadcast(dict(zip(items.ids, items.words, strict=True)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, words = shared.value
-        rarest = {k: set(v) for k, v in kept.items()}
+        words = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for row in batch.to_pylist():
                 item = words[row["item_id"]]
-                if row["seeds"] and not rarest[row["item_id"]].intersection(row["seeds"]):
-                    continue
                 best, end = align(np.frombuffer(row["passage"], np.uint64), item)
                 if best >= share * MATCH * len(item):
                     for k, v in enumerate((row["rk"], row["doc_id"], row["item_id"], best / (MATCH * len(item)), max(0, row["lo"] + end - len(item)), row["lo"] + end)):
@@ -161,7 +151,7 @@ def _part(docs: DataFrame, rows: list, n: int, seeds: int, rare: int, share: flo
     return found.repartition(C.n_partitions(spark), "rk", "item_id").mapInArrow(score, "rk long, doc_id long, item_id long, score double, first_word int, end_word int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 3, rare: int = 12, share: float = 0.5, bound: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 3, share: float = 0.5, bound: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and item it is contaminated by: rk, doc_id, item_id, score (share of the item's full score), first_word, end_word (about)."""
     rows = C.keyed(docs, id_col, text_col)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
@@ -170,7 +160,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 3, r
     out = None
     for k in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()  # at most about `bound` bytes
-        found = _part(rows, own, n, seeds, rare, share)
+        found = _part(rows, own, n, seeds, share)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("rk", "doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("m")).select("rk", "doc_id", "item_id", "m.*")
 

@@ -142,6 +142,15 @@ def test_decontamination_finds_edited_copies(spark, none):
     assert decontam.clean(none, bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_decontamination_finds_copies_with_every_fifth_word_replaced(spark, verbatim):
+    item = [f"w{k}" for k in range(40)]
+    edited = ["other" if k % 5 == 4 else w for k, w in enumerate(item)]
+    rows = [(1, " ".join(edited))] + [(2, " ".join(item))] * verbatim
+    found = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: r.score for r in found.collect()} == {1: brute_align(edited, item) / 80} | ({2: 1.0} if verbatim else {})
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
