@@ -1,9 +1,9 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are runs of characters other than white space and ASCII punctuation, A-Z lowered. Every n-gram of an item is looked
-up in every document; where at least `seeds` different ones of an item fall within a window of twice the item's length, the
-densest such window is a candidate. Every candidate is aligned, however common its seeds are: an edited copy may keep only
-those.
+up in every document; each window of twice the item's length that holds at least `seeds` different ones of an item is a
+candidate, and overlapping ones are one. Every candidate is aligned, however common its seeds are: an edited copy may keep
+only those.
 
 A document is contaminated by an item if their local alignment reaches `share` of the item's full score. Items of fewer
 words than n are found only as whole runs of their words. The items are broadcast up to `bound` bytes; a longer benchmark
@@ -77,6 +77,29 @@ class Items:
         return np.repeat(at[some], n), self.owner[seed], seed
 
 
+def windows(place: np.ndarray, seed: np.ndarray, least: int, span: int) -> list[tuple[int, int]]:
+    """Disjoint stretches (first, last) of word places: the unions of all windows of span words with least different seeds."""
+    places, own = place.tolist(), seed.tolist()
+    inside: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+    a = 0
+    for b, s in enumerate(own):
+        inside[s] = inside.get(s, 0) + 1
+        while places[b] - places[a] >= span:
+            inside[own[a]] -= 1
+            if not inside[own[a]]:
+                del inside[own[a]]
+            a += 1
+        if len(inside) >= least:
+            if out and places[a] <= out[-1][1]:
+                out[-1] = (out[-1][0], places[b])
+            else:
+                out.append((places[a], places[b]))
+    return out
+
+
+#: Bytes of passages in a batch of candidates, about.
+PASSAGES = 16 << 20
 CANDIDATE = "rk long, doc_id long, item_id long, lo int, passage binary"
 
 
@@ -84,12 +107,17 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
     """Candidate windows of docs (rk, doc_id, body): their first word and word hashes."""
     shared = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.grams, items.owner, items.short, items.n))
 
+    def made(out: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["rk", "doc_id", "item_id", "lo", "passage"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items.__new__(Items)
         known.ids, known.words, known.grams, known.owner, known.short, known.n = shared.value
         lengths = np.array([len(w) for w in known.words])
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
+            held = 0
             rk, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             bodies = [x.as_py() for x in batch.column(2)]
             sizes = np.append(0, np.cumsum([len(x) for x in bodies]))
@@ -105,16 +133,15 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
                     k = int(item[x])
                     if y - x < least[k]:
                         continue
-                    own, span = place[x:y], 2 * int(lengths[k])
-                    stop = np.searchsorted(own, own + span)
-                    best = int(np.argmax(stop - np.arange(y - x)))
-                    found = np.unique(seed[x + best : x + stop[best]])
-                    if len(found) < least[k]:
-                        continue
-                    d = int(doc[x])
-                    lo, hi = max(int(off[d]), int(own[best]) - int(lengths[k])), min(int(off[d + 1]), int(own[best]) + 2 * span)
-                    for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], lo - int(off[d]), hashes[lo:hi].tobytes())):
-                        out[q].append(v)
+                    d, span = int(doc[x]), 2 * int(lengths[k])
+                    for first, last in windows(place[x:y], seed[x:y], int(least[k]), span):
+                        lo, hi = max(int(off[d]), first - span), min(int(off[d + 1]), last + span)
+                        for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], lo - int(off[d]), hashes[lo:hi].tobytes())):
+                            out[q].append(v)
+                        held += len(out[-1][-1])
+                    if held > PASSAGES:
+                        yield made(out)
+                        out, held = [[] for _ in range(5)], 0
                 for n, which in known.short.items():
                     runs, at = C.window_hashes(hashes, off, n)
                     for k in which:
@@ -123,8 +150,7 @@ def candidates(docs: DataFrame, items: Items, seeds: int) -> DataFrame:
                             d = int(np.searchsorted(off, p, "right") - 1)
                             for q, v in enumerate((rk[a + d], doc_ids[a + d], known.ids[k], int(p - off[d]), hashes[p : p + n].tobytes())):
                                 out[q].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["rk", "doc_id", "item_id", "lo", "passage"])
+            yield made(out)
 
     return docs.select("rk", "doc_id", "body").mapInArrow(scan, CANDIDATE)
 

@@ -151,6 +151,30 @@ def test_decontamination_finds_copies_with_every_fifth_word_replaced(spark, verb
     assert {r.doc_id: r.score for r in found.collect()} == {1: brute_align(edited, item) / 80} | ({2: 1.0} if verbatim else {})
 
 
+def test_decontamination_finds_copies_after_repeated_words_of_the_item(spark):
+    item = [f"w{k}" for k in range(40)]
+    edited = ["other" if k % 5 == 4 else w for k, w in enumerate(item)]
+    gap = [f"x{k}" for k in range(500)]
+    rows = [(1, item[:6] * 50 + gap + item), (2, item[:3] * 50 + gap + edited), (3, item[:6] * 50 + item), (4, item[:6] * 50)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    found = decontam.matches(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: r.score for r in found.collect()} == {1: 1.0, 2: brute_align(edited, item) / 80, 3: 1.0}
+
+
+def test_windows_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        place, seed = np.sort(rng.integers(0, 200, 30)), rng.integers(0, 8, 30)
+        whole = set()
+        for p in place.tolist():
+            inside = (place >= p) & (place < p + 20)
+            if len(set(seed[inside].tolist())) >= 3:
+                whole |= set(np.flatnonzero(inside).tolist())
+        got = decontam.windows(place, seed, 3, 20)
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+        assert {k for k, p in enumerate(place.tolist()) if any(a <= p <= b for a, b in got)} == whole
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
