@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int, n_words: int = 1) -> DataFrame:
 def position_pairs(n_bytes: int, distance: int) -> list[tuple[int, int]]:
     """Disjoint neighbours where they lose nothing (distance below n_bytes / 2), else four pairs for each position by a fixed rule.
 
-    With 16 bytes and a bit differing with probability 0.15 (similarity 0.8), a pair agrees with probability 0.072, one of 64 with 0.99.
+    The four steps are odd, so the 64 pairs of 16 bytes are those of an even and an odd position: where no even or no odd byte
+    agrees, a pair of fingerprints isn't found.
     """
     if distance < n_bytes // 2:
         return [(k, k + 1) for k in range(0, n_bytes, 2)]

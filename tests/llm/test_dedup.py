@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from folioforge.llm import common, embedding_neardup, line_dedup, simhash, substring_dedup, suffix_dedup
+import corpus_pipeline
+from folioforge.llm import common, embedding_neardup, line_dedup, shingle_dedup, simhash, substring_dedup, suffix_dedup
 
 LAST = common.LAST_ID
 
@@ -168,3 +169,48 @@ def test_embeddings_equal_brute_force(spark, cell):
     wrong = [k for k in want if want[k] != found[k]]
     assert not wrong if cell == 400 else sum(r[0] for r in found.values()) >= 0.9 * len(links)
     assert embedding_neardup.groups(df.limit(0)).count() == 0
+
+
+def test_near_copies_are_those_of_true_similarity(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    docs, want, k = [], {}, 0
+    while len(docs) < 1200:  # pairs at 0.8 to 0.85 and at 0.7 to 0.8
+        a = words(200)
+        b = a.copy()
+        for p in rng.choice(200, rng.integers(3, 9), replace=False):
+            b[p] = f"v{p}"
+        x, y = shingles(a), shingles(b)
+        score = len(x & y) / len(x | y)
+        if 0.7 <= score <= 0.85:
+            docs += [(k, " ".join(a)), (k + 1, " ".join(b))]
+            want |= {k: k, k + 1: k if score >= 0.8 else k + 1}
+            k += 2
+    linked = sum(v != n for n, v in want.items())
+    assert 150 < linked < 450
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_dedup.groups(frame).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, "").collect()} == {n for n, v in want.items() if v == n}
+
+
+def test_near_copies_in_shares_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in range(300)]
+    docs = [(None, "no id"), (900, ""), (901, None), (902, " "), (903, "one two"), (904, "ONE  two")]
+    for k in range(60):
+        w = base.copy()
+        for p in rng.choice(300, rng.integers(1, 12), replace=False):
+            w[p] = f"v{k}"
+        docs.append((k, " ".join(w)))
+    sets = {k: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in docs if k is not None and k < 900}
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = min(root[a], root[b])
+    want = Counter(list(root.items()) + [(None, None), (900, 900), (901, 900), (902, 900), (903, 903), (904, 903)])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for share in (8, 256):
+        assert result(shingle_dedup.groups(frame, share=share)) == want
