@@ -30,7 +30,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup(table(spark, sf_dir, "documents"), min_lines=3))
+    return line_dedup.digest(line_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

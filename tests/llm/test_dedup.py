@@ -1,9 +1,11 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import common, embedding_neardup, line_dedup, shingle_dedup, simhash, substring_dedup, suffix_dedup
@@ -126,24 +128,48 @@ def test_position_pairs_lose_nothing():
             assert any(not (bytes_hit >> a & 1 or bytes_hit >> b & 1) for a, b in ways)
 
 
-def brute_lines(rows, n):
-    seen, out = set(), Counter()
+def brute_lines(rows, bound, unit):
+    """Every run of lines that counts and that an earlier place also has, tried one by one."""
+    size = (lambda x: len(x) + 1) if unit == "characters" else (lambda x: 1)
     order = sorted({(LAST if r[0] is None else r[0], r[1]): r for r in rows}.items(), key=lambda x: x[0][0])
-    done = {}
+    seen, done, out = set(), {}, Counter()
     for key, (i, t, *_) in order:
         lines = t.split("\n") if t is not None else []
-        late = [tuple(lines[k : k + n]) in seen or seen.add(tuple(lines[k : k + n])) for k in range(len(lines) - n + 1)]
-        gone = {k + j for k, x in enumerate(late) if x for j in range(n)}
+        gone = set()
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:z])
+                if sum(map(size, run)) >= bound:
+                    if run in seen:
+                        gone |= set(range(a, z))
+                    seen.add(run)
         done[key] = (i, len(lines), len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(lines) if k not in gone).encode()).hexdigest())
     for r in rows:
         out[done[LAST if r[0] is None else r[0], r[1]]] += 1
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5])
-def test_line_dedup_equals_brute_force(docs, rows, none, n):
-    assert result(line_dedup.digest(line_dedup.dedup(docs, min_lines=n))) == brute_lines(rows, n)
-    assert line_dedup.dedup(none, min_lines=n).count() == 0
+@pytest.fixture(scope="module")
+def lined(rows):
+    rng = random.Random(9)
+    some = ["", "a", "bb", "a short line", "and another", "a line of forty characters, or about that", "x" * 70, "y" * 61, "", "end"]
+    made = [(100 + k, "\n".join(rng.choice(some) for _ in range(rng.randint(1, 24)))) for k in range(60)]
+    return [r[:2] for r in rows] + made + [made[5], (700, made[7][1]), (None, made[8][1])]
+
+
+@pytest.mark.parametrize(("bound", "unit"), [(1, "lines"), (2, "lines"), (3, "lines"), (5, "lines"), (60, "characters"), (25, "characters"), (150, "characters")])
+def test_line_dedup_equals_brute_force(spark, lined, none, bound, unit):
+    docs = spark.createDataFrame(lined, "doc_id long, text string").withColumn("rk", F.lit("clash")).withColumn("pos", F.lit(1)).repartition(3)
+    got = line_dedup.dedup(docs, bound, unit)
+    assert got.columns[:2] == ["doc_id", "text"] and {"rk", "pos"} <= set(got.columns)
+    assert result(line_dedup.digest(got)) == brute_lines(lined, bound, unit)
+    assert line_dedup.dedup(none, bound, unit).count() == 0
+
+
+def test_very_frequent_lines_take_the_broadcast_branch(spark):
+    rows = [(k, "a line that is in every document, and long enough to count\nok\n" + f"own line {k}") for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(line_dedup.digest(line_dedup.dedup(docs))) == brute_lines(rows, 60, "characters")
 
 
 @pytest.mark.parametrize("cell", [400, 10])
