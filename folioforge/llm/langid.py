@@ -2,14 +2,19 @@
 
 Training counts the character n-grams of every training document, in the shuffle; lower orders are continuation counts.
 A model holds, for each order, one sorted array of n-gram hashes (here: codes in base `alphabet`, free of collisions) and
-beside it, for each language, the interpolated log-probability and the log back-off weight. Its size is bounded by
-alphabet ** order entries whatever the corpus, so it is collected and broadcast.
+beside it, for each language, the interpolated log-probability and the log back-off weight. Every letter that the training
+texts hold has a code of its own (up to 55,106 at order 4, where codes fill 63 bits; rarer ones share one), so scripts of any
+kind are told apart. The model holds the different n-grams of the training texts, which grow far slower than these; it is
+collected and broadcast.
 
 A document's cross-entropy is taken per character; the language of the lowest wins. It is rejected where that exceeds
 what the winning language's training documents show: the `quantile` of theirs, widened by `slack`.
 
-Null texts and texts without a letter are `und`, score 0, rejected. Texts that no model tells apart get the first language
-by name. Languages are compared without prior weights, so a frequent source or language gains nothing.
+Null and empty texts and texts without a letter are `und`, score 0, rejected. Texts that no model tells apart get the first
+language by name. Languages are compared without prior weights, so a frequent source or language gains nothing; repeated rows
+are judged alike, and each teaches. Whole texts are scored, however long. Where no row teaches anything (an empty or unlabelled
+table), no language is known: all are `und`, score 0, and only texts without a letter are rejected. An empty table gives an
+empty result. Column names that begin with two underscores are ours.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
@@ -70,10 +75,10 @@ class Model:
 
 def code_table(letters: np.ndarray) -> np.ndarray:
     """The code of every code point; capitals as their small letters."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint16)
     low = _lower()
     table[low > 0] = OTHER
-    place = np.full(0x110000, OTHER, np.uint8)
+    place = np.full(0x110000, OTHER, np.uint16)
     place[letters] = np.arange(FIRST, FIRST + len(letters))
     table[low > 0] = place[low[low > 0]]
     return table
@@ -94,7 +99,7 @@ def encode(text: str, table: np.ndarray, order: int) -> np.ndarray:
     """Codes of composed text with runs of non-letters as one, order - 1 of them before and one after."""
     codes = table[np.frombuffer(unicodedata.normalize("NFC", text).encode("utf-32-le", "replace"), np.uint32)]
     codes = codes[(codes != 0) | np.append(True, codes[:-1] != 0)]
-    return np.concatenate([np.zeros(order - 1, np.uint8), codes[int(len(codes) and codes[0] == 0) : len(codes) - int(len(codes) > 1 and codes[-1] == 0)], np.zeros(1, np.uint8)])
+    return np.concatenate([np.zeros(order - 1, np.uint16), codes[int(len(codes) and codes[0] == 0) : len(codes) - int(len(codes) > 1 and codes[-1] == 0)], np.zeros(1, np.uint16)])
 
 
 def ngrams(codes: np.ndarray, order: int, alphabet: int) -> np.ndarray:
@@ -116,6 +121,7 @@ def _tally(docs: DataFrame, count, schema: str) -> DataFrame:
                 codes, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([x[1] for x in found]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
+        C.give_back()
 
     return docs.select("lang", "text").mapInArrow(scan, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
@@ -175,7 +181,12 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], letters: np.nda
     return model
 
 
-def train(docs: DataFrame, order: int = 4, alphabet: int = 48, lang_col: str = "lang", text_col: str = "text") -> Model:
+def most_letters(order: int) -> int:
+    """How many letters leave n-gram codes of this order in 63 bits."""
+    return int(2 ** (63 / order)) - 2
+
+
+def train(docs: DataFrame, order: int = 4, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The models of the languages in lang_col of docs; rows with null language or text teach nothing."""
     C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
@@ -186,8 +197,9 @@ def train(docs: DataFrame, order: int = 4, alphabet: int = 48, lang_col: str = "
         return found[found > 0]
 
     schema = "lang string, code long, n long"
-    seen = _tally(rows, letters_of, schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(alphabet - FIRST).collect()  # the alphabet
+    seen = _tally(rows, letters_of, schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(most_letters(order)).collect()  # every letter
     letters = np.array(sorted(r["code"] for r in seen), np.int64)
+    alphabet = FIRST + len(letters)
     table = docs.sparkSession.sparkContext.broadcast(code_table(letters))
     found = _tally(rows, lambda text: ngrams(encode(text, table.value, order), order, alphabet), schema).toPandas()
     counts = {}
@@ -195,27 +207,34 @@ def train(docs: DataFrame, order: int = 4, alphabet: int = 48, lang_col: str = "
         by = np.argsort(part["code"].to_numpy())
         counts[lang] = (part["code"].to_numpy()[by], part["n"].to_numpy()[by].astype(np.float64))
     if not counts:
-        raise ValueError("no labelled text to learn a language from")
+        return Model([], letters, alphabet, order, [], [], [], np.zeros(0))
     return kneser_ney(counts, letters, alphabet, order)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep columns of docs with lang_pred, score (0 to 1) and entropy (nats per character of the winner, null if `und`)."""
+    """keep columns of docs with lang_pred, score (0 to 1) and entropy (nats per character of the winner, null without a letter)."""
     C.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((vars(model), model.table()))  # at most alphabet ** order n-grams
+    shared = docs.sparkSession.sparkContext.broadcast((vars(model), model.table()))  # the different n-grams of the training texts
+    read = keep if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, table = shared.value
         model = Model(**fields)
         for batch in batches:
             lang, score, entropy = [], [], []
-            for x in batch.column(len(keep)):
+            for x in batch.column(at):
                 codes = encode(x.as_py(), table, model.order) if x.is_valid else np.zeros(0, np.uint8)
                 if not codes.any():
                     lang.append("und")
                     score.append(0.0)
                     entropy.append(None)
                     continue
+                if not model.languages:
+                    lang.append("und")
+                    score.append(0.0)
+                    entropy.append(0.0)
+                    continue
                 n = len(codes) - model.order + 1
                 mean = model.score(codes) / n
                 best = int(np.argmax(mean))
@@ -223,21 +242,22 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
                 score.append(float(1.0 / np.exp(np.minimum((mean - mean[best]) * min(n, 20), 0.0)).sum()))
                 entropy.append(float(-mean[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())], [*keep, "lang_pred", "score", "entropy"])
+        C.give_back()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, entropy double"
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, training: DataFrame, order: int = 4, alphabet: int = 48, quantile: float = 0.999, slack: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: Column, order: int = 4, quantile: float = 0.999, slack: float = 0.5, keep: list[str] | None = None, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """docs' keep columns with lang_pred, score, entropy, rejected. training marks rows to learn from: a boolean column expression over docs.
 
-    A document is rejected if it is `und`, or if its entropy exceeds (1 + slack) times the quantile of the training documents of its language.
+    A document is rejected if it has no letter, or if its entropy exceeds (1 + slack) times the quantile of the training documents of its language.
     """
     keep = keep or ["doc_id"]
-    marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)) & F.col("lang").isNotNull())
-    model = train(marked.filter("__train").select("lang", "text"), order, alphabet)
-    result = C.written(scored(marked, model, [*keep, "__train"]), "languages")
+    marked = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__train", F.coalesce(training, F.lit(False)) & F.col(lang_col).isNotNull())
+    model = train(marked.filter("__train").select(lang_col, text_col), order, lang_col, text_col)
+    result = C.written(scored(marked, model, [*keep, "__train"], text_col), "languages")
     limits = result.filter("__train and entropy is not null").groupBy("lang_pred").agg(F.percentile_approx("entropy", quantile, 10_000).alias("q")).collect()  # a row for each language
     limit = F.coalesce(*[F.when(F.col("lang_pred") == r["lang_pred"], F.lit(r["q"] * (1 + slack))) for r in limits], F.lit(None).cast("double")) if limits else F.lit(None).cast("double")
     return result.withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > limit, F.lit(False))).drop("__train")

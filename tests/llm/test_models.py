@@ -112,6 +112,22 @@ def test_language_models(spark):
     assert got[1003].rejected and not got[1004].rejected and got[None].lang_pred == "en" and 0 <= got[1003].score <= 1
 
 
+def test_language_id_without_anything_to_learn_from(spark, none):
+    assert langid.identify(none, F.lit(True)).count() == 0
+    rows = [(1, "some words", None), (2, None, None), (3, "", None), (4, "%% 12", None), (1, "some words", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted((r.doc_id, r.lang_pred, r.score, r.rejected) for r in got.collect()) == [(1, "und", 0.0, False), (1, "und", 0.0, False), (2, "und", 0.0, True), (3, "und", 0.0, True), (4, "und", 0.0, True)]
+
+
+def test_every_script_has_letters_of_its_own(spark):
+    rng = random.Random(2)
+    scripts = {"latin": range(0x61, 0x7B), "greek": range(0x3B1, 0x3CA), "russian": range(0x430, 0x450), "arabic": range(0x627, 0x64B), "han": range(0x4E00, 0x5E00)}
+    word = lambda lang: "".join(chr(rng.choice(scripts[lang])) for _ in range(rng.randint(2, 7)))
+    rows = [(k, " ".join(word(lang) for _ in range(40)), lang) for k, lang in enumerate(sorted(scripts) * 30)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100, keep=["doc_id", "lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in got if r.doc_id >= 100)
+
+
 def test_kneser_ney_is_a_distribution():
     order, alphabet = 3, 6
     rng = np.random.default_rng(2)
