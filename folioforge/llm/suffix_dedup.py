@@ -5,13 +5,15 @@
    stretch; stretches are the rows, about one per 185 bytes of text.
 2. Stretches equal as a whole repeat as a whole; one of them stands for all in what follows.
 3. Different stretches with one anchor may share some of their strings. Their bytes are concatenated, class after class,
-   into bounded blocks; each block gets its suffix array (prefix doubling up to `length` bytes). Suffixes that agree in
-   `length` bytes are neighbours in it, and the smaller positions before and after each in suffix order give its
-   longest-previous-factor test: a factor of at least `length` bytes, seen earlier.
+   into bounded blocks; each block gets its suffix array (prefix doubling up to `length` bytes) and its
+   longest-previous-factor array, from the previous and next smaller positions in suffix order, up to `length` bytes.
+   Where that is `length`, the string is a later copy.
    A class of more than `largest` stretches isn't gathered; its strings are compared by fingerprint in a shuffle.
 
 keep="first" removes later copies and keeps the earliest by (doc_id, place); keep="none" removes every copy.
-Null text is empty; documents whose id is null come last; rows equal in id and text count as copies of each other.
+Null text is empty; documents whose id is null come last; rows equal in id and text count as copies of each other. Documents
+shorter than `length` keep all; of a very long one pieces of 2 MB that overlap are scanned, so no string is missed. An empty
+table gives an empty result. Only the id and text columns are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -112,14 +114,31 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, np.flatnonzero(new)
 
 
-def factor_tests(order: np.ndarray, begin: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix: has it an equal at a smaller position, and at any other. position: rank of each suffix in the corpus."""
-    size = np.diff(np.append(begin, len(order)))
-    least = np.minimum.reduceat(position[order], begin)
-    earlier, other = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    earlier[order] = position[order] > np.repeat(least, size)
-    other[order] = np.repeat(size > 1, size)
-    return earlier, other
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: all places jump together, over what is known to be larger."""
+    at = np.arange(len(values)) - 1
+    todo = np.arange(len(values))
+    while len(todo := todo[at[todo] >= 0]) and len(todo := todo[values[at[todo]] > values[todo]]):
+        at[todo] = at[at[todo]]
+    return at
+
+
+def longest_previous_factors(order: np.ndarray, begin: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix length, if its first `length` bytes also start at a smaller position, else 0.
+
+    position: place of each suffix in the corpus. Of all suffixes at smaller positions, the previous and the next in suffix
+    order agree with a suffix in the most bytes, so the longest previous factor is the longer of these two matches; here it
+    counts up to `length` bytes, which two suffixes share if they stand in one set of equals (begin) of the order.
+    """
+    placed = position[order]
+    same = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    before = smaller_before(placed)
+    after = len(order) - 1 - smaller_before(placed[::-1])[::-1]
+    hit = (before >= 0) & (same[before] == same)
+    hit |= (after < len(order)) & (same[np.minimum(after, len(order) - 1)] == same)
+    out = np.zeros(len(order), np.int64)
+    out[order[hit]] = length
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -201,8 +220,10 @@ def spans(docs: DataFrame, length: int = 400, keep: str = "first", largest: int
             order, begin = suffix_order(data, off[owner] + within, length)
             position = np.empty(len(owner), np.int64)
             position[np.lexsort((place, rk[owner], order_[owner]))] = np.arange(len(owner))
-            earlier, other = factor_tests(order, begin, position)
-            own, a, b = _runs(earlier if first else other & (n[owner] == 1), owner, place)
+            earlier = longest_previous_factors(order, begin, position, length) >= length
+            if not first:  # a factor that a later suffix has goes too: the same from the other end
+                earlier |= longest_previous_factors(order, begin, len(position) - 1 - position, length) >= length
+            own, a, b = _runs(earlier if first else earlier & (n[owner] == 1), owner, place)
             if len(own):
                 yield _spans(rk[own], a, b)
 

@@ -94,6 +94,18 @@ def test_suffix_order_and_short_lengths(docs, rows):
         suffix_dedup.stretches(docs, 40)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 50, 400):
+        data = rng.integers(97, 99, n + 7).astype(np.uint8)
+        text, position = data.tobytes(), rng.permutation(n)
+        order, begin = suffix_dedup.suffix_order(data, np.arange(n), 8)
+        got = suffix_dedup.longest_previous_factors(order, begin, position, 8)
+        assert got.tolist() == [8 * any(text[j : j + 8] == text[i : i + 8] and position[j] < position[i] for j in range(n)) for i in range(n)]
+        before = suffix_dedup.smaller_before(position)
+        assert before.tolist() == [max((j for j in range(i) if position[j] < position[i]), default=-1) for i in range(n)]
+
+
 def brute_prints(rows, shingle):
     out = []
     for i, t, *_ in rows:
