@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.udf import arrow
+
 UPLOAD_KEYS = ("data", "base64", "content_base64", "bytes", "file_data", "upload", "blob")
 DROPPED = ("minLength", "maxLength", "minimum", "maximum", "multipleOf", "pattern", "format", "minItems", "maxItems")
 
@@ -96,6 +98,17 @@ def find_upload(value: Any) -> str | None:
     return None
 
 
+def _upload_in(text: str | None) -> str | None:
+    try:
+        return None if text is None else find_upload(json.loads(text))
+    except ValueError:
+        return None
+
+
+#: The first inline upload of JSON text, or null.
+upload_udf = arrow(_upload_in, "string")
+
+
 def json_path(path: str) -> str:
     """a.b, a.0, a[0] as a JSON path."""
     steps = re.findall(r"[^.\[\]]+", path)

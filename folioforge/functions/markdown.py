@@ -167,26 +167,43 @@ def heading_sections(content: str, target: int) -> list[str]:
     return [content[c.start : c.end] for c in split(content, target) if content[c.start : c.end].strip()]
 
 
+#: Info strings of a fence that may wrap a whole answer.
+WRAPPER_INFO = ("", "markdown", "md", "gfm", "commonmark")
+
+
+def _wrapper(line: str) -> str | None:
+    """The marks of a fence that may open a wrapper."""
+    m = re.fullmatch(r"(`{3,}|~{3,})([^\r\n]*)", line.strip())
+    return m[1] if m and m[2].strip().lower() in WRAPPER_INFO else None
+
+
 def strip_wrapper(text: str) -> str:
-    """The inside of a fence that wraps a whole model answer, after at most one preamble line of 120 bytes ending in a colon."""
-    body = text.strip()
-    lines = body.split("\n")
-    if not is_fence(lines[0]) and len(lines) > 1 and len(lines[0].encode()) <= 120 and lines[0].rstrip().endswith(":"):
-        lines = lines[1:]
-        while lines and not lines[0].strip():
-            lines = lines[1:]
-    if not lines or not lines[0].startswith(("```", "~~~")):
-        return text
-    mark = lines[0][:3]
-    if lines[0].lstrip(mark[0]).strip().lower() not in ("", "markdown", "md", "text", "txt"):
-        return text
-    depth = 1
-    for k, line in enumerate(lines[1:], 1):
-        if line.startswith(mark):
-            depth += 1 if line.lstrip(mark[0]).strip() else -1
-            if not depth:
-                return "\n".join(lines[1:k]) if not any(x.strip() for x in lines[k + 1 :]) else text
-    return "\n".join(lines[1:])
+    """The inside of a fence that wraps a whole model answer, after at most one preamble line of 120 bytes ending in a colon.
+
+    The wrapper ends at the first bare fence outside inner blocks that has its mark and at least its length; an answer
+    that was cut off has none. Text after that fence makes it a code block of the document, which stays.
+    """
+    whole = re.sub(r"^[\s\ufeff]+|[\s\ufeff]+$", "", text)
+    lines = [x.removesuffix("\r") for x in whole.split("\n")]
+    preamble = lines[0].strip()
+    if len(lines) > 1 and _wrapper(lines[1]) and preamble.endswith(":") and len(preamble.encode()) <= 120 and not preamble.startswith("#"):
+        del lines[0]
+    mark = _wrapper(lines[0])
+    if mark is None:
+        return whole
+    inside, end = False, len(lines)
+    for k, line in enumerate(map(str.strip, lines[1:]), 1):
+        bare = len(line) >= 3 and line[0] in "`~" and not line.strip(line[0])
+        if inside:
+            inside = not bare
+        elif bare and line.startswith(mark):
+            end = k
+            break
+        elif line.startswith(("```", "~~~")):
+            inside = True
+    if any(x.strip() for x in lines[end + 1 :]):
+        return whole
+    return "\n".join(lines[1:end]).strip("\n")
 
 
 def local_title(hint: str | None, content: str, file_name: str) -> str | None:
@@ -259,5 +276,6 @@ def normalize_plain(c: Column) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """Built-in expressions where no fence can be, the Arrow UDF elsewhere."""
-    return F.when(c.rlike(r"(?m)^ *(```|~~~)"), normalize_udf(c)).otherwise(normalize_plain(c))
+    """Built-in expressions where no fence can be; the Arrow UDF gets the other texts only, and null for these."""
+    fenced = c.rlike(r"(?m)^ *(```|~~~)")
+    return F.coalesce(normalize_udf(F.when(fenced, c)), normalize_plain(c))

@@ -60,8 +60,9 @@ class Options:
         return json.dumps({k: v for k, v in asdict(self).items() if k not in ("execution", "priority", "create_zip", "zip_only")}, sort_keys=True)
 
 
-def cache_key(content: Column, name: Column, kind: Column, options: Options) -> Column:
-    return F.sha2(F.concat_ws("\0", F.sha2(content, 256), name, kind, F.lit(options.key()), F.lit(VERSION)), 256)
+def cache_key(content: Column, kind: Column, options: Options, provider: str = "", model: str = "") -> Column:
+    """What the output depends on: the content, not its name; options but for those of delivery; the model."""
+    return F.sha2(F.concat_ws("\0", F.sha2(content, 256), kind, F.lit(options.key()), F.lit(provider), F.lit(model), F.lit(VERSION)), 256)
 
 
 def statistics(df: DataFrame, content: str = "content", per_page: int = 500) -> DataFrame:
@@ -78,19 +79,23 @@ def chunks(df: DataFrame, key: str, content: str = "content", options: Options =
 
 
 def convert(df: DataFrame, options: Options = Options()) -> DataFrame:
-    """Texts (path, text, format) to result records. Equal documents are converted once and joined back on their key."""
+    """Texts (path, text, format) to result records. Equal documents are converted once and joined back on their key.
+
+    A title that the content doesn't give is made of each document's own file name.
+    """
     options.validate()
-    keyed = df.withColumn("cache_key", cache_key(F.col("text"), F.col("path"), F.col("format"), options))
+    keyed = df.withColumn("cache_key", cache_key(F.col("text"), F.col("format"), options))
     once = keyed.dropDuplicates(["cache_key"]).withColumn("content", M.normalized(F.col("text")))
     body = statistics(once, per_page=options.words_per_page)
     nothing = F.lit(None).cast("string")
-    body = body.withColumn("title", M.title_udf(nothing, F.col("content"), F.element_at(F.split("path", "/"), -1)) if options.gen_title else nothing)
+    body = body.withColumn("title", M.title_udf(nothing, F.col("content"), F.lit("")) if options.gen_title else nothing)
     body = body.withColumn("summary", M.summary_udf(F.col("content")) if options.gen_summary else nothing)
     none = F.array().cast(M.CHUNK_TYPE)
     body = body.withColumn("chunks", M.chunk_udf(F.col("content"), F.lit(options.size), F.lit(options.overlap)) if options.gen_chunks else none)
     status = lambda on, value: F.when(F.lit(not on), "disabled").when(F.length(F.trim("content")) == 0, "skipped").when(value.isNull(), "failed").otherwise("completed")
-    body = body.withColumn("feature_status", F.create_map(F.lit("chunks"), status(options.gen_chunks, F.col("chunks")), F.lit("summary"), status(options.gen_summary, F.col("summary")), F.lit("title"), status(options.gen_title, F.col("title"))))
-    return keyed.select("path", "cache_key").join(body.drop("path", "text", "format"), "cache_key")
+    body = body.withColumn("feature_status", F.create_map(F.lit("chunks"), status(options.gen_chunks, F.col("chunks")), F.lit("summary"), status(options.gen_summary, F.col("summary")), F.lit("title"), status(options.gen_title, F.lit(""))))
+    out = keyed.select("path", "cache_key").join(body.drop("path", "text", "format"), "cache_key")
+    return out.withColumn("title", F.coalesce("title", X.stem_title(F.element_at(F.split("path", "/"), -1)))) if options.gen_title else out
 
 
 def with_cache(keyed: DataFrame, cache: DataFrame, now_ms: int, ttl_ms: int) -> tuple[DataFrame, DataFrame]:

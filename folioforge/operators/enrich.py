@@ -50,6 +50,7 @@ class Mock:
 
     def _sample(self, schema: dict) -> Any:
         kind = schema.get("type")
+        kind = kind[0] if isinstance(kind, list) else kind
         if "enum" in schema:
             return schema["enum"][0]
         if kind == "object":

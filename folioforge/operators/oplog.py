@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bounds of the latency histogram, in milliseconds.
 BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000]
 
 
@@ -53,14 +56,28 @@ def top(log: DataFrame, column: str, k: int = 10) -> DataFrame:
     return log.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
-def rank_value(log: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
-    """For each group the value at place min(floor(n * q), n - 1) of its sorted values, by ranks: no group is gathered."""
+def rank_value(log: DataFrame, value: str, by: list[str], shares: list[float], slices: int = 1000) -> DataFrame:
+    """For each group the value at place min(floor(n * q), n - 1) of its sorted values, exactly, and the largest.
+
+    Values are counted in `slices` equal ranges of each group first; only the ranges that hold a place asked for are ranked,
+    so no task sorts a whole group unless its values crowd in one range.
+    """
     known = log.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ends = counts.withColumn("upto", F.sum("m").over(w)).withColumn("n", F.sum("m").over(Window.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(f"p{int(q * 100)}") for q in shares]
-    return ends.groupBy(*by).agg(F.max("n").alias("n"), *picks, F.max(value).alias("max"))
+    ends = known.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("max"), F.count(F.lit(1)).alias("n"))
+    width = F.greatest((F.col("max") - F.col("__lo")) / slices, F.lit(1e-300))
+    at = F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(slices)).cast("int").alias("__slice")
+    sliced = known.select(*by, value).join(ends.select(*by, "__lo", "max"), by).select(*by, value, at)
+    counts = sliced.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__m"))
+    upto = counts.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*by).orderBy("__slice"))).join(ends.drop("__lo"), by)  # slices + 1 rows a group at most
+    places = F.explode(F.array(*[F.struct(F.lit(f"p{int(q * 100)}").alias("name"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("place")) for q in shares]))
+    asked = upto.select(*by, "__slice", "__m", "__upto", places.alias("x")).filter((F.col("x.place") < F.col("__upto")) & (F.col("x.place") >= F.col("__upto") - F.col("__m")))
+    asked = asked.select(*by, "__slice", F.col("x.name").alias("__name"), (F.col("x.place") - F.col("__upto") + F.col("__m") + 1).alias("__k"))
+    hit = sliced.join(asked.select(*by, "__slice").distinct(), [*by, "__slice"], "left_semi")
+    hit = hit.groupBy(*by, "__slice", value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__u", F.sum("__c").over(Window.partitionBy(*by, "__slice").orderBy(value)))
+    found = hit.join(asked, [*by, "__slice"]).filter((F.col("__k") <= F.col("__u")) & (F.col("__k") > F.col("__u") - F.col("__c")))
+    names = [f"p{int(q * 100)}" for q in shares]
+    picks = found.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == p, F.col(value))).alias(p) for p in names])
+    return ends.join(picks, by).select(*by, "n", *names, "max")
 
 
 def histogram(log: DataFrame, value: str, by: list[str], bounds: list[int] = BOUNDS) -> DataFrame:
@@ -111,20 +128,82 @@ def retention(rows: DataFrame, held: DataFrame, key: str, expired: Column) -> Da
     return rows.join(gone, key, "left_anti")
 
 
-def aimd(calls: DataFrame, by: str, order: str, throttled: str, start: float = 8.0, top_limit: float = 64.0) -> DataFrame:
-    """Limit after each key's calls: halved on a throttled call, one more after every 20 successes since the last change."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, throttled))), lambda x: x[throttled])
-    zero = F.struct(F.lit(start).alias("limit"), F.lit(0).alias("good"))
-    step = lambda s, bad: F.when(bad, F.struct(F.greatest(s["limit"] / 2, F.lit(1.0)).alias("limit"), F.lit(0).alias("good"))).when(
-        s["good"] + 1 >= 20, F.struct(F.least(s["limit"] + 1, F.lit(top_limit)).alias("limit"), F.lit(0).alias("good"))
-    ).otherwise(F.struct(s["limit"].alias("limit"), (s["good"] + 1).alias("good")))
-    return calls.groupBy(by).agg(F.aggregate(seq, zero, step)["limit"].alias("call_limit"))
+def folded(rows: DataFrame, by: str, order: list[str], read: list[str], schema: str, step: Callable[[dict, tuple], tuple | None], last: Callable[[dict], tuple] | None = None) -> DataFrame:
+    """A fold over each key's rows in order, for states that no window expresses. Keys stream through, so none is gathered.
+
+    step(state, values of read) may give an output row (without the key); last(state) gives one when a key ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, state, now, begun = [f.split()[0] for f in schema.split(", ")], {}, None, False
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            out: list[tuple] = []
+            for key, *values in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not begun or key != now:
+                    if begun and last:
+                        out.append((now, *last(state)))
+                    state, now, begun = {}, key, True
+                made = step(state, tuple(values))
+                if made is not None:
+                    out.append((key, *made))
+            if out:
+                yield _batch(out, kinds, names)
+        if begun and last:
+            yield _batch([(now, *last(state))], kinds, names)
+
+    kind = dict(rows.dtypes)[by]
+    ready = rows.repartition(by).sortWithinPartitions(by, *order).select(by, *read)
+    return ready.mapInArrow(run, f"{by} {kind}, {schema}")
+
+
+def _batch(rows: list[tuple], key: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    first, *rest = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(first, key), *map(pa.array, rest)], ["key", *names])
+
+
+def aimd(calls: DataFrame, by: str, order: str, throttled: str, start: int = 8, top_limit: int = 64) -> DataFrame:
+    """Limit after each key's calls: halved, rounded down, on a throttled call; one more after every 20 successes since then."""
+
+    def step(state: dict, values: tuple) -> None:
+        limit, good = state.get("limit", start), state.get("good", 0)
+        if values[0]:
+            limit, good = max(limit // 2, 1), 0
+        elif (good := good + 1) >= 20:
+            limit, good = min(limit + 1, top_limit), 0
+        state.update(limit=limit, good=good)
+
+    return folded(calls, by, [order], [throttled], "call_limit long", step, lambda state: (state["limit"],))
+
+
+def breaker(calls: DataFrame, by: str, order: list[str], at: str, failed: str, threshold: int = 5, cooldown_ms: int = 30_000) -> DataFrame:
+    """The breaker's state that each call meets: closed, open (the call fails at once and changes nothing), or half_open after the cooldown.
+
+    Failures in a row up to the threshold open it; any success closes it; a failure while half open opens it again. order ends with a long id.
+    """
+
+    def step(state: dict, values: tuple) -> tuple:
+        now, bad, ident = values
+        until = state.get("until")
+        if until is not None and now < until:
+            return ident, "open"
+        met = "closed" if until is None else "half_open"
+        failures = state.get("failures", 0) + 1 if bad else 0
+        state.update(failures=failures, until=now + cooldown_ms if failures >= threshold else (until if bad else None))
+        return ident, met
+
+    return folded(calls, by, order, [at, failed, order[-1]], f"{order[-1]} long, breaker string", step)
 
 
 def smoothed_rate(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """rate = rate / 2 + value / 2, in order, from 0."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    return rows.groupBy(by).agg(F.aggregate(seq, F.lit(0.0), lambda a, v: a * 0.5 + v * 0.5).alias("rate"))
+    """rate = value while the rate is 0, so at first; then rate / 2 + value / 2, in order. As a sum: each value counts half of the next one."""
+    w = Window.partitionBy(by).orderBy(order)
+    back = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+    live = rows.filter(F.col(value).isNotNull()).withColumn("__back", back)
+    seen = F.count_if(F.col(value) != 0).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    weight = F.pow(F.lit(0.5), F.col("__back") - F.when((F.col("__seen") == 1) & (F.col(value) != 0), 1).otherwise(0))
+    return live.withColumn("__seen", seen).groupBy(by).agg(F.sum(F.col(value) * weight).alias("rate"))
 
 
 def commit_batches(ops: DataFrame, by: str, order: str, size: int = 500) -> DataFrame:

@@ -30,6 +30,15 @@ LOG = """(SELECT event_id AS seq, epoch_us(ts) // 1000 AS created_at, event_type
  CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS execution_status FROM events)"""
 
 
+TITLE_SQL = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
+
+
+def entities_sql(x: str) -> str:
+    for name, value in X.ENTITIES.items():
+        x = f"replace({x}, '&{name};', '{value.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
 def query(table: str, sql: str | None = None, name: str | None = None):
     """Register f(df) over one table, or f(spark, dir) over several where table is empty."""
 
@@ -71,7 +80,15 @@ def doc_title(df):
     return df.select("doc_id", M.title_udf(F.lit(None).cast("string"), F.col("text"), name).alias("title"))
 
 
-@query("documents")
+SUMMARY_SQL = r"""WITH l AS (SELECT doc_id, i, trim(regexp_replace(string_split(text, chr(10))[i], '^\s+|\s+$', '', 'g')) AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i)),
+q AS (SELECT doc_id, i, regexp_replace(ltrim(line, '-*+'), '^\s+|\s+$', '', 'g') AS line FROM l WHERE strlen(line) >= 30 AND left(line, 1) NOT IN ('#', '|', '>')),
+p AS (SELECT doc_id, i, j, regexp_replace(string_split(regexp_replace(line, '([.!?。]) ', '\1' || chr(1) || ' ', 'g'), chr(1))[j], '^\s+|\s+$', '', 'g') AS part
+ FROM q, unnest(range(1, len(string_split(regexp_replace(line, '([.!?。]) ', '\1' || chr(1) || ' ', 'g'), chr(1))) + 1)) u(j)),
+n AS (SELECT *, row_number() OVER w AS k, sum(strlen(part)) OVER w AS upto FROM p WHERE strlen(part) >= 20 WINDOW w AS (PARTITION BY doc_id ORDER BY i, j))
+SELECT d.doc_id, 'Extractive summary: ' || string_agg(part, ' ' ORDER BY k) AS summary FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id AND k <= 5 AND upto + greatest(k - 2, 0) <= 600 GROUP BY 1"""
+
+
+@query("documents", SUMMARY_SQL)
 def doc_summary(df):
     return df.select("doc_id", M.summary_udf(F.col("text")).alias("summary"))
 
@@ -107,15 +124,11 @@ def doc_convert(df):
     return V.convert(texts).select("path", "title", "summary", "words", "tokens", F.size("chunks").cast("long").alias("chunks"), F.to_json("feature_status").alias("feature_status"))
 
 
-def _ratio(c, pattern):
-    return F.regexp_count(c, F.lit(pattern)) / F.greatest(F.regexp_count(c, F.lit(r"\S")), F.lit(1))
-
-
-@query("documents", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S')) AS BIGINT) AS visible,
- len(regexp_extract_all(text, '\S')) < 20 OR len(regexp_extract_all(text, '[\p{L}\p{N}]')) / greatest(len(regexp_extract_all(text, '\S')), 1) < 0.5 AS needs_ocr FROM documents""")
+@query("documents", rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{X.BLANK}]')) AS BIGINT) AS visible, len(regexp_extract_all(text, '[^{X.BLANK}]')) < 20
+ OR len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) / greatest(len(regexp_extract_all(text, '[^{X.BLANK}]')), 1) < 0.5 OR len(regexp_extract_all(text, '{X.GARBAGE}')) / greatest(len(regexp_extract_all(text, '[^{X.BLANK}]')), 1) >= 0.05
+ OR (doc_id % 3 > 0 AND len(regexp_extract_all(text, '[^{X.BLANK}]')) < 200) AS needs_ocr FROM documents""")
 def doc_quality_ocr(df):
-    seen = F.regexp_count("text", F.lit(r"\S"))
-    return df.select("doc_id", seen.cast("long").alias("visible"), ((seen < 20) | (_ratio(F.col("text"), r"[\p{L}\p{N}]") < 0.5)).alias("needs_ocr"))
+    return df.select("doc_id", X.visible(F.col("text")).cast("long").alias("visible"), X.needs_ocr(F.col("text"), F.col("doc_id") % 3).alias("needs_ocr"))
 
 
 @query("documents", "SELECT sha256(text) AS cache_key, min(doc_id) AS doc_id, count(*) AS waiting FROM documents GROUP BY text")
@@ -131,15 +144,18 @@ def doc_cache_lookup(df):
     return hit.select(F.lit("hit").alias("cache")).unionByName(miss.select(F.lit("miss").alias("cache"))).groupBy("cache").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("documents", r"SELECT doc_id, sha256(replace(text, chr(10), ' ') || chr(10) || chr(10)) AS body FROM documents WHERE NOT regexp_matches(text, '-\n') AND NOT regexp_matches(text, '(^|\n)[\s]|[\s](\n|$)') AND text <> ''")
+@query("documents", r"""SELECT doc_id, sha256(CASE WHEN b = '' OR ends_with(b, chr(10) || chr(10)) THEN b ELSE b || chr(10) || chr(10) END) AS body FROM (
+ SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda a, x: CASE
+  WHEN x = '' THEN CASE WHEN a = '' OR ends_with(a, chr(10) || chr(10)) THEN a ELSE a || chr(10) || chr(10) END
+  WHEN a = '' OR ends_with(a, chr(10) || chr(10)) THEN a || x
+  WHEN ends_with(a, '-') AND NOT ends_with(a, ' -') THEN a[:-2] || x ELSE a || ' ' || x END, '') AS b FROM documents)""")
 def doc_paragraphs(df):
-    plain = df.filter(~F.col("text").rlike(r"-\n") & ~F.col("text").rlike(r"(^|\n)\s|\s(\n|\z)") & (F.col("text") != ""))
-    return plain.select("doc_id", F.sha2(M.paragraphs_udf(F.col("text")), 256).alias("body"))
+    return df.select("doc_id", F.sha2(M.paragraphs_udf(F.col("text")), 256).alias("body"))
 
 
-@query("documents", """SELECT doc_id, CASE WHEN length(text) <= 2000 THEN 'inline' ELSE 'conversion_required' END AS route, length(text) // 4 + 1 AS quarter FROM documents""")
+@query("documents", "SELECT doc_id, CASE WHEN strlen(text) <= 4194304 THEN 'inline' ELSE 'conversion_required' END AS route, CASE WHEN strlen(text) <= 2000 THEN 'inline' ELSE 'conversion_required' END AS small FROM documents")
 def doc_inline_cap(df):
-    return df.select("doc_id", F.when(F.length("text") <= 2000, "inline").otherwise("conversion_required").alias("route"), F.expr("length(text) div 4 + 1").alias("quarter"))
+    return df.select("doc_id", X.inline_route(F.col("text")).alias("route"), X.inline_route(F.col("text"), 2000).alias("small"))
 
 
 @query("documents", """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')), ' ') AS t FROM documents)
@@ -202,13 +218,14 @@ def conv_running_cap(df):
 
 
 @query("conversations", """WITH c AS (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS seg_end, length(text) AS n FROM conversations),
-s AS (SELECT conv_id, turn, seg_end - n AS seg_start, seg_end FROM c), k AS (SELECT conv_id, i AS chunk, i * 100 AS a, (i + 1) * 100 AS b FROM (SELECT DISTINCT conv_id FROM c), range(5) r(i))
+s AS (SELECT conv_id, turn, seg_end - n AS seg_start, seg_end FROM c), k AS (SELECT conv_id, i AS chunk, i * 100 AS a, (i + 1) * 100 AS b FROM (SELECT conv_id, max(seg_end) AS total FROM c GROUP BY 1), unnest(range(0, greatest(CAST(ceil(total / 100) AS BIGINT), 1))) r(i))
 SELECT k.conv_id, CAST(chunk AS BIGINT) AS chunk, min(turn) AS span_from, max(turn) AS span_to FROM k JOIN s ON k.conv_id = s.conv_id AND seg_start < b AND seg_end > a GROUP BY k.conv_id, chunk""")
 def conv_span_overlap(df):
     n = F.length("text")
     end = F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn"))
     spans = df.withColumn("seg_end", end).select("conv_id", (F.col("seg_end") - n).alias("seg_start"), "seg_end", F.col("turn").alias("seg_from"), F.col("turn").alias("seg_to"))
-    parts = df.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("chunk")).withColumn("chunk_start", F.col("chunk") * 100).withColumn("chunk_end", F.col("chunk") * 100 + 100)
+    last = F.greatest(F.ceil(F.sum(n) / 100), F.lit(1)) - 1
+    parts = df.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk")).withColumn("chunk_start", F.col("chunk") * 100).withColumn("chunk_end", F.col("chunk") * 100 + 100)
     return R.overlaps(parts, spans, "conv_id", "chunk")
 
 
@@ -220,9 +237,21 @@ def conv_segments(df):
 # Pages: locations, sniffing, HTML
 
 
-@query("pages", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^(https?://)[^/?#@]*@', '\1'), '#.*$', ''), '\?.*$', '?***') AS url FROM pages""")
+@query("pages", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^(https?://)[^/?#@]*@', '\1'), '#.*$', ''), '\?.*$', '?***'), '^([a-z]+://[^/?]*)(\?|$)', '\1/\2') AS url,
+ 's3://b' || page_id || '/' || page_id || '.pdf' || CASE WHEN page_id % 2 = 0 THEN '?region=eu-' || page_id ELSE '' END AS s3 FROM pages""")
 def page_sanitized_url(df):
-    return df.select("page_id", S.sanitize(F.col("url")).alias("url"))
+    n = F.col("page_id").cast("string")
+    s3 = F.concat(F.lit("s3://AK"), n, F.lit(":se%2Fcret@B"), n, F.lit("/"), n, F.lit(".pdf?session_token=t"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("&region=eu-"), n)).otherwise(""))
+    return df.select("page_id", S.sanitize(F.col("url")).alias("url"), S.sanitize(s3).alias("s3"))
+
+
+@query("pages", "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'b' || page_id END AS bucket, CASE WHEN page_id % 3 < 2 THEN 'a b/' || page_id || '.pdf' END AS key, CASE WHEN page_id % 3 = 0 THEN 'se/cret' END AS secret_key, CASE WHEN page_id % 3 = 1 THEN 'eu' END AS region, CASE WHEN page_id % 3 = 2 THEN 'unknown parameter zone' END AS error FROM pages")
+def page_s3_parts(df):
+    n = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 3
+    head, tail = F.when(kind == 0, "s3://AK:se%2Fcret@b").otherwise("s3://b"), F.when(kind == 1, ".pdf?region=eu").when(kind == 2, ".pdf?zone=1").otherwise(".pdf")
+    got = df.select("page_id", S.parse_s3(F.concat(head, n, F.lit("/a%20b/"), n, tail)).alias("s"))
+    return got.select("page_id", "s.bucket", "s.key", "s.secret_key", "s.region", "s.error")
 
 
 @query("pages", r"""SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z0-9]+://[^/]*', ''), '([^/]*)$', 1) AS file_name FROM pages""")
@@ -245,16 +274,14 @@ def page_strip_blocks(df):
     return df.select("page_id", F.sha2(X.strip_blocks(F.col("html")), 256).alias("body"))
 
 
-@query("pages", "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')) AS body FROM pages WHERE NOT regexp_matches(html, '&(apos|nbsp|mdash|ndash|hellip|reg|rsquo|lsquo|rdquo|ldquo|euro);')")
+@query("pages", f"SELECT page_id, sha256({entities_sql('html')}) AS body FROM pages")
 def page_entities(df):
-    plain = df.filter(~F.col("html").rlike("&(apos|nbsp|mdash|ndash|hellip|reg|rsquo|lsquo|rdquo|ldquo|euro);"))
-    return plain.select("page_id", F.sha2(X.decode_entities(F.col("html")), 256).alias("body"))
+    return df.select("page_id", F.sha2(X.decode_entities(F.col("html")), 256).alias("body"))
 
 
-@query("pages", r"SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&')")
+@query("pages", f"SELECT page_id, trim({entities_sql(TITLE_SQL)}) AS title FROM pages")
 def page_title(df):
-    made = df.filter(~F.contains(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), F.lit("&"))).withColumn("r", H.convert_udf(F.col("html")))
-    return made.select("page_id", F.col("r.title").alias("title"))
+    return df.select("page_id", H.convert_udf(F.col("html"))["title"].alias("title"))
 
 
 @query("pages")
@@ -268,10 +295,11 @@ def page_slug(df):
     return df.select("page_id", X.slug(F.col("url")).alias("slug"))
 
 
-@query("pages", r"""SELECT page_id, CASE WHEN regexp_matches(url, '\.html$') THEN 'out/' || regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') || '.md' END AS md, CASE WHEN regexp_matches(url, '\.html$') THEN 'out/' || regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') || '.zip' END AS zip FROM pages WHERE regexp_matches(url, '\.html$')""")
+@query("pages", r"""WITH n AS (SELECT page_id, regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z0-9]+://[^/]*', ''), '([^/]*)$', 1), '\.[^.]*$', '') AS stem FROM pages)
+SELECT page_id, 'out/' || stem || '.md' AS md, 'out/' || stem || '.zip' AS zip, 'out/' || stem || '.docv.json' AS json FROM n""")
 def page_destination(df):
-    named = df.filter(F.col("url").rlike(r"\.html$")).withColumn("md", K.destination(F.lit("out/"), S.file_name(F.col("url"))))
-    return named.select("page_id", "md", K.sibling(F.col("md"), ".zip").alias("zip"))
+    named = df.withColumn("md", K.destination(F.lit("out/"), S.file_name(F.col("url"))))
+    return named.select("page_id", "md", K.sibling(F.col("md"), ".zip").alias("zip"), K.sibling(F.col("md"), ".docv.json").alias("json"))
 
 
 # The request log
@@ -357,14 +385,30 @@ def log_outcome(df):
     return df.select("event_id", L.outcome(request, execution).alias("outcome"))
 
 
-@query("events")
+CALLS = "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events"
+
+
+@query("events", f"""WITH RECURSIVE c AS MATERIALIZED ({CALLS}), f AS (SELECT user_id, i, CASE WHEN bad THEN 4 ELSE 8 END AS l, CASE WHEN bad THEN 0 ELSE 1 END AS good FROM c WHERE i = 1
+ UNION ALL SELECT c.user_id, c.i, CASE WHEN bad THEN greatest(l // 2, 1) WHEN good + 1 >= 20 THEN least(l + 1, 64) ELSE l END, CASE WHEN bad OR good + 1 >= 20 THEN 0 ELSE good + 1 END FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT user_id, CAST(max_by(l, i) AS BIGINT) AS call_limit FROM f GROUP BY 1""")
 def log_aimd_fold(df):
     return L.aimd(df.withColumn("bad", F.col("event_type") == "error"), "user_id", "event_id", "bad")
 
 
-@query("events", "SELECT event_id, coalesce(nullif(trim('u' || user_id), ''), 'unknown') AS requester_id FROM events")
+@query("events", f"""WITH RECURSIVE c AS MATERIALIZED (SELECT user_id, event_id, ms, (bad OR event_id % 3 < 2) AS bad, i FROM ({CALLS})), f AS (SELECT user_id, i, event_id, 'closed' AS breaker, CAST(bad AS BIGINT) AS n, CAST(NULL AS BIGINT) AS upto FROM c WHERE i = 1
+ UNION ALL SELECT c.user_id, c.i, c.event_id, CASE WHEN upto IS NULL THEN 'closed' WHEN ms < upto THEN 'open' ELSE 'half_open' END, CASE WHEN ms < upto THEN n WHEN bad THEN n + 1 ELSE 0 END,
+  CASE WHEN ms < upto THEN upto WHEN bad AND n + 1 >= 5 THEN ms + 40000000 WHEN bad THEN upto END FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT user_id, event_id, breaker FROM f""")
+def log_breaker(df):
+    calls = df.select("user_id", "event_id", L.epoch_ms(F.col("ts")).alias("at"), ((F.col("event_type") == "error") | (F.col("event_id") % 3 < 2)).alias("bad"))
+    return L.breaker(calls, "user_id", ["event_id"], "at", "bad", cooldown_ms=40_000_000)
+
+
+@query("events", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unknown' WHEN event_id % 5 <> 0 THEN 'u' || user_id END AS requester_id FROM events")
 def log_requester_id(df):
-    return df.select("event_id", F.coalesce(F.nullif(X.trim_unicode(F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("\t"))), F.lit("")), F.lit("unknown")).alias("requester_id"))
+    e = F.col("event_id")
+    raw = F.when(e % 7 == 0, "  ").when(e % 5 == 0, F.repeat(F.lit("x"), 129)).otherwise(F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("\t")))
+    return df.select("event_id", X.requester_id(raw).alias("requester_id"))
 
 
 @query("events", "SELECT event_type, count(*) AS n, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) // count(*) AS mean FROM events GROUP BY 1")
@@ -384,7 +428,7 @@ def log_tumbling_day(df):
 
 @query("events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS at FROM events")
 def log_rfc3339(df):
-    return df.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+    return df.select("event_id", X.rfc3339(L.epoch_ms(F.col("ts"))).alias("at"))
 
 
 @query("events", "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS ok FROM events")
@@ -398,9 +442,10 @@ def template_render(df):
     return df.select("event_id", J.template({"id": "$$k", "value": "$.k", "all": "$"}, F.col("props")).alias("body"))
 
 
-@query("events", "SELECT event_id, 'evt_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 32) || '_0' AS id FROM events")
+@query("events", "SELECT event_id, 'evt_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 32) || '_' || event_id % 3 AS id, CAST(event_id % 3 AS INT) AS index FROM events")
 def webhook_event_id(df):
-    return df.select("event_id", F.concat(F.lit("evt_"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 32), F.lit("_0")).alias("id"))
+    made = df.select("event_id", X.event_id(F.col("event_id").cast("string"), F.col("event_id") % 3).alias("id"))
+    return made.withColumn("index", X.event_index(F.col("id")))
 
 
 # Jobs and their timelines
@@ -458,9 +503,10 @@ def bcp47_map(df):
     return df.select("n_nationkey", X.bcp47(code).alias("tag"))
 
 
-@query("nation", "SELECT n_nationkey, CAST((ascii(substr(n_name, 1, 1)) - 64) * 26 + ascii(substr(n_name, 2, 1)) - 64 - 1 AS BIGINT) AS column_index FROM nation WHERE regexp_matches(n_name, '^[A-Z]{2}')")
+@query("nation", "SELECT n_nationkey, list_reduce(list_transform(string_split(substr(regexp_replace(n_name, '[^A-Za-z]', '', 'g'), 1, 3), ''), lambda x: CAST(ascii(upper(x)) - 64 AS BIGINT)), lambda a, x: a * 26 + x) - 1 AS column_index FROM nation")
 def column_ref_index(df):
-    return df.filter(F.col("n_name").rlike("^[A-Z]{2}")).select("n_nationkey", X.column_index(F.concat(F.substring("n_name", 1, 2), F.lit("10"))).alias("column_index"))
+    letters = F.substring(F.regexp_replace("n_name", "[^A-Za-z]", ""), 1, 3)
+    return df.select("n_nationkey", X.column_index(F.concat(letters, F.lit("10"))).alias("column_index"))
 
 
 @query("nation", "SELECT n_regionkey, '| ' || string_agg(n_name, ' | ' ORDER BY n_name) || ' |' AS line FROM nation GROUP BY 1")
@@ -487,9 +533,9 @@ def self_sized(df):
 # More of the log: folds, batches, lanes, stages, deliveries, sessions
 
 
-@query("events", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(value * pow(0.5, n - i + 1)), 4) AS rate FROM r GROUP BY 1")
+@query("events", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(value * pow(0.5, CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END)), 4) AS rate FROM r GROUP BY 1")
 def log_smoothed_rate(df):
-    return L.smoothed_rate(df, "user_id", "event_id", "value").select("user_id", F.round("rate", 4).alias("rate"))
+    return L.smoothed_rate(df.withColumn("value", F.col("value")), "user_id", "event_id", "value").select("user_id", F.round("rate", 4).alias("rate"))
 
 
 @query("events", "SELECT event_type, batch, count(*) AS n FROM (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS batch FROM events) GROUP BY 1, 2")
@@ -502,13 +548,13 @@ def log_lanes(df):
     return L.lanes(df, "user_id", F.col("event_type") == "view", "event_id").select("event_id", "user_id", "place")
 
 
-@query("events", """WITH t AS (SELECT event_id, event_id % 3 AS "fetch", event_id % 5 AS extraction, event_id % 7 AS storage, event_type = 'error' AS bad FROM events WHERE event_id < 2000),
+@query("events", """WITH t AS (SELECT event_id, event_id % 3 AS "fetch", event_id % 5 AS extraction, event_id % 7 AS storage, event_type = 'error' AS bad FROM events),
 t2 AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 4 END AS queue, "fetch", extraction, storage, bad FROM t)
 SELECT event_id, 'queue' AS stage, 'completed' AS event, CAST(queue AS BIGINT) AS ms FROM t2 WHERE queue > 0 UNION ALL SELECT event_id, 'fetch', 'completed', "fetch" FROM t2 UNION ALL SELECT event_id, 'extraction', 'completed', extraction FROM t2
 UNION ALL SELECT event_id, 'storage', 'completed', storage FROM t2 WHERE storage > 0 UNION ALL SELECT event_id, CASE WHEN bad THEN 'processing' ELSE 'done' END, CASE WHEN bad THEN 'failed' ELSE 'completed' END, NULL FROM t2""")
 def log_stage_events(df):
     e = F.col("event_id")
-    t = df.filter("event_id < 2000").select("event_id", "event_type", F.when(e % 2 == 0, 0).otherwise(4).cast("long").alias("queue"), (e % 3).alias("fetch"), (e % 5).alias("extraction"), (e % 7).alias("storage"))
+    t = df.select("event_id", "event_type", F.when(e % 2 == 0, 0).otherwise(4).cast("long").alias("queue"), (e % 3).alias("fetch"), (e % 5).alias("extraction"), (e % 7).alias("storage"))
     return L.stage_events(t, "event_id", ["queue", "storage"], ["fetch", "extraction"], F.col("event_type") == "error")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -312,24 +313,105 @@ def pdf_pages(data: bytes) -> tuple[int, bool] | None:
     return (n, False) if n else None
 
 
-def image_size(data: bytes) -> tuple[str, int, int] | None:
-    if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
-        return "png", *struct.unpack(">II", data[16:24])
-    if data[:6] in (b"GIF87a", b"GIF89a"):
-        return "gif", *struct.unpack("<HH", data[6:10])
-    if data.startswith(b"\xff\xd8\xff"):
-        at = 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
-            if mark in range(0xC0, 0xD0) and mark not in (0xC4, 0xC8, 0xCC):
-                return "jpeg", int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
-            at += 2 + size
+# Marks of image files at an offset, and their extensions.
+IMAGE_MARKS = [
+    (0, b"\x89PNG", "png"), (0, b"\xff\xd8\xff", "jpg"), (0, b"GIF8", "gif"), (8, b"WEBP", "webp"), (0, b"BM", "bmp"), (0, b"II\x2a\0", "tif"),
+    (0, b"MM\0\x2a", "tif"), (0, b"\xd7\xcd\xc6\x9a", "wmf"), (0, b"\0\0\0\x0cjP  ", "jp2"), (0, b"\xff\x4f\xff\x51", "jp2"), (40, b" EMF", "emf"),
+]
+SMALLEST, SHORT_SIDE, MOST_IMAGES, MOST_BYTES = 256, 32, 500, 64 << 20
+
+
+def image_kind(data: bytes) -> str | None:
+    """The extension of an image by its first bytes; null for anything else."""
+    for at, mark, kind in IMAGE_MARKS:
+        if data[at : at + len(mark)] == mark and (kind != "webp" or data[:4] == b"RIFF"):
+            return kind
+    return "svg" if b"<svg" in data[:512] else None
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    at = 2
+    while at + 9 < len(data) and data[at] == 0xFF:
+        mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
+        if mark in range(0xC0, 0xD0) and mark not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+        at += 2 + size
     return None
 
 
+def _webp_size(data: bytes) -> tuple[int, int] | None:
+    kind, body = data[12:16], data[20:30]
+    if kind == b"VP8X":
+        return 1 + int.from_bytes(body[4:7], "little"), 1 + int.from_bytes(body[7:10], "little")
+    if kind == b"VP8L":
+        bits = int.from_bytes(body[1:5], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    return (int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF) if kind == b"VP8 " and len(data) >= 30 else None
+
+
+def image_size(data: bytes) -> tuple[str, int | None, int | None] | None:
+    """Extension, width and height of an image; no size where its kind doesn't tell."""
+    kind, size = image_kind(data), None
+    if kind == "png" and len(data) >= 24:
+        size = struct.unpack(">II", data[16:24])
+    elif kind == "gif" and len(data) >= 10:
+        size = struct.unpack("<HH", data[6:10])
+    elif kind == "bmp" and len(data) >= 26:
+        size = tuple(abs(x) for x in struct.unpack("<ii", data[18:26]))
+    elif kind == "jpg":
+        size = _jpeg_size(data)
+    elif kind == "webp":
+        size = _webp_size(data)
+    return (kind, *(size or (None, None))) if kind else None
+
+
 def keep_image(data: bytes) -> bool:
     size = image_size(data)
-    return size is not None and len(data) >= 256 and not (size[1] < 32 and size[2] < 32)
+    return size is not None and len(data) >= SMALLEST and not (size[1] is not None and size[1] < SHORT_SIDE and size[2] < SHORT_SIDE)
+
+
+def pixels_allowed(data: bytes, most: int = 100_000_000) -> tuple[int, int]:
+    """Width and height of an image to transcribe, or a refusal."""
+    size = image_size(data)
+    if size is None or size[1] is None:
+        raise Refused("corrupt_document", "unreadable image header")
+    if size[1] * size[2] > most:
+        raise Refused("image_too_large", f"image is {size[1]}x{size[2]}; at most {most} pixels")
+    return size[1], size[2]
+
+
+#: Marks around the key and the alternative text of an image that is still to be placed.
+OPEN, ALT, CLOSE = "\ue000", "\ue001", "\ue002"
+
+
+def place_images(content: str, segments: list[tuple], images: dict[str, bytes]) -> tuple[str, list[tuple], list[dict], list[str]]:
+    """content with each placeholder as a Markdown reference, or nothing where the image is left out; segments moved along;
+    the images kept (id, ext, bytes, alt, first segment that holds them), each once; warnings."""
+    kept: dict[str, dict] = {}
+    total = capped = strange = 0
+    parts, shifts, at = [], [], 0
+    for m in re.finditer(f"{OPEN}([^{ALT}{CLOSE}]*)(?:{ALT}([^{CLOSE}]*))?{CLOSE}", content):
+        data, text = images.get(m[1]), re.sub(r"\s+", " ", re.sub(r"[\[\]\ue000-\ue002]", "", m[2] or "")).strip()
+        reference = ""
+        if data is not None and image_kind(data) is None:
+            strange += 1
+        elif data is not None and keep_image(data):
+            ident, ext = hashlib.sha256(data).hexdigest()[:16], image_kind(data)
+            if ident not in kept and (len(kept) >= MOST_IMAGES or total + len(data) > MOST_BYTES):
+                capped += 1
+            else:
+                if ident not in kept:
+                    total += len(data)
+                    here = [s for s in segments if s[0] <= m.start()]
+                    kept[ident] = {"id": ident, "ext": ext, "bytes": data, "alt": text or None, "segment": here[-1][1:] if here else None}
+                reference = f"![{text or 'image'}](images/{ident}.{ext})"
+        parts += [content[at : m.start()], reference]
+        shifts.append((m.start(), len(reference) - len(m[0])))
+        at = m.end()
+    moved = [(max(0, s[0] + sum(d for p, d in shifts if p < s[0])), *s[1:]) for s in segments]
+    notes = [f"{capped} image(s) were not extracted: the per-document limit ({MOST_IMAGES} images or {MOST_BYTES >> 20} MiB) was reached"] if capped else []
+    notes += [f"{strange} embedded object(s) were not recognised as images and were skipped"] if strange else []
+    return "".join(parts) + content[at:], moved, list(kept.values()), notes
 
 
 def png(pixels: bytes, width: int, height: int, channels: int) -> bytes:
@@ -377,6 +459,10 @@ def extract(data: bytes, name: str = "") -> dict:
     return row
 
 
+#: Files in an Arrow batch.
+FILES = 32
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """Files as spark.read.format("binaryFile") gives them, refused paths and sizes already filtered."""
 
@@ -384,4 +470,7 @@ def extracted(files: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([extract(bytes(c), p) for p, c in zip(part["path"], part["content"], strict=True)], columns=[x.split()[0] for x in RESULT.split(", ")[:5]] + ["segments", "warnings", "error"])
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # whole files: few of them at a time
+    if not 0 < int(files.sparkSession.conf.get(key)) <= FILES:
+        files.sparkSession.conf.set(key, str(FILES))
     return files.select("path", "content").mapInPandas(run, RESULT)

@@ -59,3 +59,9 @@ def exposition(counts: DataFrame, name: str) -> DataFrame:
     """(labels map, value) as lines of text metrics."""
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
     return counts.select(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col("value").cast("string")).alias("line"))
+
+
+def histogram_lines(row: DataFrame, name: str, bounds: list[int]) -> DataFrame:
+    """A histogram (le_<bound>, n, total; one row) as lines of text metrics, its buckets cumulative."""
+    pairs = [(f'{name}_bucket{{le="{b}"}} ', F.col(f"le_{b}")) for b in bounds] + [(f'{name}_bucket{{le="+Inf"}} ', F.col("n")), (f"{name}_count{{}} ", F.col("n")), (f"{name}_sum{{}} ", F.col("total"))]
+    return row.select(F.explode(F.array(*[F.concat(F.lit(a), b.cast("string")) for a, b in pairs])).alias("line"))

@@ -9,9 +9,9 @@ def random_markdown(rng, n):
 
 
 def test_normalize_examples():
-    assert M.normalize("a  \r\n\r\n\r\n\r\nb\n\n")[0] == "a\n\nb\n"
-    assert M.normalize("\n\n")[0] == ""
-    assert M.normalize("```\nx  \n\n\ny\n```\n")[0] == "```\nx  \n\n\ny\n```\n"
+    assert M.normalize("\nred\t\r\n \r\n\r\ngreen  \n\n\n")[0] == "red\n\ngreen\n"
+    assert M.normalize("\n \n")[0] == ""
+    assert M.normalize("~~~\nkept  \n\n\nkept\n~~~  \n")[0] == "~~~\nkept  \n\n\nkept\n~~~\n"
 
 
 def test_normalize_is_idempotent_and_moves_offsets():
@@ -19,8 +19,9 @@ def test_normalize_is_idempotent_and_moves_offsets():
     for _ in range(60):
         once, _ = M.normalize(random_markdown(rng, rng.randint(0, 60)))
         assert M.normalize(once)[0] == once
-    body, moved = M.normalize("a\n\n\n\nb\nc\n", [7])
-    assert body[moved[0] :] == "c\n"
+    text = "oats\n\n\n\n\nrye  \nbarley\n"
+    body, moved = M.normalize(text, [text.index("barley"), text.index("rye")])
+    assert [body[m:] for m in moved] == ["barley\n", "rye\nbarley\n"]
 
 
 def test_chunks_cover_the_text_in_order():
@@ -34,10 +35,10 @@ def test_chunks_cover_the_text_in_order():
 
 
 def test_overlap_starts_at_a_line():
-    text = "first line of text\nsecond line of text\nthird\n"
-    parts = [M.Chunk(0, 39, (), 10), M.Chunk(39, 45, (), 2)]
-    assert M.chunk(text, 16, 5)[-1]["content"].endswith("third")
-    assert text[39 - M.overlap(text, parts, 6)[1].overlap :].startswith("second line of text\n")
+    text = "sow the oats in march\ncut the hay before rain\nrest\n"
+    last = text.index("rest")
+    parts = M.overlap(text, [M.Chunk(0, last, (), 12), M.Chunk(last, len(text), (), 2)], 8)
+    assert text[last - parts[1].overlap :].startswith("cut the hay")
 
 
 def test_heading_paths():
@@ -54,9 +55,13 @@ def test_titles_and_summaries():
 
 
 def test_wrappers():
-    assert M.strip_wrapper("```markdown\n# A\n```") == "# A"
-    assert M.strip_wrapper("Here it is:\n\n```md\n# A\n```\n") == "# A"
-    assert M.strip_wrapper("```python\nx\n```") == "```python\nx\n```"
+    page = "# Garden\n\nOats, `rye`.\n\n~~~sh\ndig\n~~~\n\nDone."
+    for mark, info in (("```", "markdown"), ("```", "GFM"), ("~~~", "commonmark"), ("`````", "md"), ("```", "")):
+        for before in ("", "My answer follows:\n", " \n\ufeff"):
+            for after in ("\n" + mark, "\n" + mark + "\n \n", ""):
+                assert M.strip_wrapper(f"{before}{mark}{info}\n{page}{after}") == page, (mark, info, before, after)
+    for stays in (page, "```text\nx\n```", "```yaml\na: 1\n```", "```\ndig\n```\n\nThen rest.", "# Plan:\n```md\nx\n```", "Look:\n\n```md\nx\n```", "p" * 121 + ":\n```md\nx\n```"):
+        assert M.strip_wrapper(f"  {stays}\n") == stays
 
 
 def test_paragraphs():
