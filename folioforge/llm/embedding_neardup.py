@@ -3,36 +3,34 @@
 Vectors are projected on `lines` random directions. Two vectors collide on one if their values lie in one another's
 query-centred window; a pair that collides on at least `least` is verified by its cosine in double precision. The window is
 2.5 standard deviations of the difference that a pair at the threshold shows, and `least` is the largest count that such a
-pair reaches with probability 1 - 1e-6: the calibrated recall of the filter.
-
-Candidates come from sorted windows: within a block, rows are sorted by the first projection and only those in the window
-of each are counted on the others. Blocks are labels, or, where a label has more than `rows_per_cell` rows, cells of several
-coarse projections with random offsets, in enough tables that a pair at the threshold shares one with probability 0.99; a pair
-is counted in the first table it shares. Large blocks are dealt into bounded pairs of shares; each returns counts and
-spanning links, never all pairs.
-
-Vectors that are null, of zero length, or that hold a null or non-finite component link with nothing, as do rows without a
-label or id. Equal rows are one vector.
+pair reaches with probability 1 - 1e-6: the calibrated recall of the filter, the same at every size.
+
+Each block is sorted by the first projection, and for each run of queries only the stretch of rows that their windows reach is
+counted on the other projections. Blocks are labels. A label of more than `rows_per_cell` different vectors is cut into cells of several
+coarse projections with random offsets, as many as that label needs, in enough tables that a pair at the threshold shares a cell with
+probability 1 - 1e-6 too; a pair is counted in the first table it shares. Larger blocks are dealt into bounded pairs of shares; each
+returns counts and spanning links, never all pairs.
+
+Equal vectors of a label are one row before the comparison, whatever their number, and count with it: copies cost nothing.
+Vectors that are null, empty, of zero length, or that hold a null or non-finite component link with nothing, as do rows without a
+label or id, and vectors of different sizes. Rows that agree in id, label and vector are one vector; rows that share an id share its answer.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
 from folioforge.llm import pairs as P
 
 
-#: Vectors of different sizes are kept apart: `way` is the table times this, and the size.
-SIZES = 100_003
-
-
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).normal(size=(dim, n))
 
@@ -47,19 +45,72 @@ def least_count(lines: int, p: float, miss: float = 1e-6) -> int:
     return lines
 
 
-def usable(rows: DataFrame) -> DataFrame:
+def _usable() -> Column:
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0)
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def links(vectors: DataFrame, threshold: float, lines: int, tables: int, depth: int, share: int, seed: int) -> DataFrame:
-    """vectors (vec_id, label, embedding): (vec_id, n, root): links counted and a vector linked to it, per block."""
+def usable(rows: DataFrame) -> DataFrame:
+    return rows.filter(_usable())
+
+
+#: Queries and rows that are compared at a time.
+TILE, REACH = 256, 2048
+
+
+def close_pairs(x: np.ndarray, block: np.ndarray, side: np.ndarray, alone: np.ndarray, spots: np.ndarray, window: float, need: int, threshold: float, also: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of one block whose cosine reaches the threshold, among those that collide on `need` projections.
+
+    Rows come sorted by block and first projection; spots: a row of values for each projection.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+    for first, stop in zip(edges, [*edges[1:], len(block)], strict=True):
+        for i in range(first, stop, TILE):
+            e = min(i + TILE, stop)
+            reach = int(np.searchsorted(spots[0, first:stop], spots[0, e - 1] + window, "right")) + first
+            for j in range(i, reach, REACH):
+                f = min(j + REACH, reach)
+                count = np.zeros((e - i, f - j), np.int8)
+                for values in spots:
+                    count += np.abs(values[i:e, None] - values[None, j:f]) <= window
+                p, q = np.nonzero(count >= need)
+                p, q = p + i, q + j
+                stay = (p < q) & (alone[p] | (side[p] != side[q]))
+                p, q = p[stay], q[stay]
+                for a in range(0, len(p), 100_000):
+                    u, v = p[a : a + 100_000], q[a : a + 100_000]
+                    ok = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+                    u, v = u[ok], v[ok]
+                    ok = also(u, v)
+                    out.append((u[ok], v[ok]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])
+
+
+def tables_for(rows: int, rows_per_cell: int) -> tuple[int, int]:
+    """How many projections make a cell, and how many tables, for a label of so many vectors.
+
+    A pair at the threshold shares a cell of width 4 delta in one direction with probability 0.8.
+    """
+    if rows <= rows_per_cell:
+        return 0, 1
+    depth = math.ceil(math.log(rows / rows_per_cell) / math.log(1.8))
+    return depth, math.ceil(math.log(1e-6) / math.log(1 - 0.8**depth))
+
+
+def links(vectors: DataFrame, threshold: float, lines: int, rows_per_cell: int, share: int, seed: int) -> DataFrame:
+    """vectors (vec_id, label, embedding, m, size, rows), different within a label, m: how many copies, rows: vectors of the label.
+
+    (vec_id, n, root): copies of other vectors linked, and a vector linked to it, per block.
+    """
     delta = math.sqrt(2 - 2 * threshold)
     window, need = 2.5 * delta, least_count(lines, math.erf(2.5 / math.sqrt(2)))
     cell = 4.0 * delta
 
-    def project(x: np.ndarray) -> np.ndarray:
+    def project(x: np.ndarray, depth: int, tables: int) -> np.ndarray:
         """Cell numbers of every table."""
         if not depth:
             return np.zeros((len(x), 1), np.int64)
@@ -71,81 +122,68 @@ def links(vectors: DataFrame, threshold: float, lines: int, tables: int, depth:
             out = C.mix(out * C.MULTIPLIERS[3] + grid[:, :, k].astype(np.uint64))
         return out.view(np.int64)
 
-    def unit(column: pa.Array) -> np.ndarray:
-        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    def unit(column: pa.Array, size: int) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         x /= np.abs(x).max(axis=1, keepdims=True)
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
+    names = ["vec_id", "label", "m", "size", "rows", "embedding"]
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes).tolist():
-                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                cells = project(unit(part.column(2)))
+            sizes, rows = (batch.column(k).to_numpy() for k in (3, 4))
+            for size, n in sorted(set(zip(sizes.tolist(), rows.tolist(), strict=True))):
+                part = batch.take(pa.array(np.flatnonzero((sizes == size) & (rows == n))))
+                cells = project(unit(part.column(5), size), *tables_for(n, rows_per_cell))
                 for t in range(cells.shape[1]):
-                    way = pa.array(np.full(part.num_rows, t * SIZES + size), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), way, pa.array(cells[:, t]), part.column(2)], ["vec_id", "label", "way", "cell", "embedding"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, t, np.int32)), pa.array(cells[:, t])], [*names, "way", "cell"])
 
-    kind = dict(vectors.dtypes)["label"]
-    rows = vectors.select("vec_id", "label", "embedding").mapInArrow(post, f"vec_id long, label {kind}, way long, cell long, embedding array<double>")
-    rows = rows.withColumn("key", F.xxhash64("label", "way", "cell"))
-    dealt = P.blocks(rows, "key", "vec_id", share).select("block", "side", "alone", "way", "vec_id", F.xxhash64("label").alias("label"), "embedding")
+    kinds = dict(vectors.dtypes)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in names)
+    rows = vectors.select(*names).mapInArrow(post, fields + ", way int, cell long")
+    rows = rows.withColumn("key", F.xxhash64("label", "size", "way", "cell"))
+    dealt = P.blocks(rows, "key", "vec_id", share).select("block", "side", "alone", "way", "vec_id", "m", "size", "rows", F.xxhash64("label").alias("label"), "embedding")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in P.whole_blocks(batches, "block", 4096):
-            sizes = whole["way"].to_numpy() % SIZES
-            for size in np.unique(sizes).tolist():
-                table = whole.take(pa.array(np.flatnonzero(sizes == size))).combine_chunks()
-                x = unit(table["embedding"].combine_chunks())
-                spots = x @ directions(size, lines, seed)
+            sizes, counts, labels = (whole[c].to_numpy() for c in ("size", "rows", "label"))
+            for size, n, label in sorted(set(zip(sizes.tolist(), counts.tolist(), labels.tolist(), strict=True))):
+                table = whole.take(pa.array(np.flatnonzero((sizes == size) & (counts == n) & (labels == label)))).combine_chunks()
+                x = unit(table["embedding"].combine_chunks(), size)
+                spots = (x @ directions(size, lines, seed)).astype(np.float32)
                 by = np.lexsort((spots[:, 0], table["block"].to_numpy()))  # each block sorted by the first projection
                 x, spots = x[by], np.ascontiguousarray(spots[by].T)
-                block, ids, side, label, alone, way = (table[c].to_numpy()[by] for c in ("block", "vec_id", "side", "label", "alone", "way"))
-                cells = project(x)
-
-                def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                    ok = np.zeros(len(i), bool)
-                    at = np.flatnonzero((spots[0, j] - spots[0, i] <= window) & (label[i] == label[j]) & (alone[i] | (side[i] != side[j])))
-                    for s in range(0, len(at), 50_000):
-                        go = at[s : s + 50_000]
-                        p, q = i[go], j[go]
-                        count = np.ones(len(go), np.int8)
-                        for k in range(1, lines):
-                            count += np.abs(spots[k, p] - spots[k, q]) <= window
-                            if k in (5, 10):  # those that can't reach the count any more leave
-                                stay = count >= need - (lines - 1 - k)
-                                go, p, q, count = go[stay], p[stay], q[stay], count[stay]
-                        stay = count >= need
-                        go, p, q = go[stay], p[stay], q[stay]
-                        first = (cells[p] == cells[q]).argmax(axis=1) == way[p] // SIZES
-                        ok[go[first & ((x[p] * x[q]).sum(axis=1) >= threshold)]] = True
-                    return ok
-
-                i, j = P.linked(block, near)
+                block, ids, side, alone, way, m = (table[c].to_numpy()[by] for c in ("block", "vec_id", "side", "alone", "way", "m"))
+                cells = project(x, *tables_for(n, rows_per_cell))
+                first = lambda p, q: (cells[p] == cells[q]).argmax(axis=1) == way[p]  # noqa: B023, E731
+                i, j = close_pairs(x, block, side, alone, spots, np.float32(window), need, threshold, first)
                 if not len(i):
                     continue
-                n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                n_links = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
                 root = P.forest(i, j, len(ids))
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(n[at], pa.int64()), pa.array(ids[root[at]], pa.int64())], ["vec_id", "n", "root"])
+                at = np.flatnonzero(n_links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(n_links[at].astype(np.int64)), pa.array(ids[root[at]], pa.int64())], ["vec_id", "n", "root"])
 
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "vec_id long, n long, root long")
 
 
-def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 16, rows_per_cell: int = 400, share: int = 256, seed: int = 7) -> DataFrame:
+def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 24, rows_per_cell: int = 32_768, share: int = 8192, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
     C.small_batches(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("row", F.xxhash64("vec_id", "label", "embedding"))
-    vectors = usable(rows).dropDuplicates(["row"])
-    most = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    depth, tables = 0, 1
-    if most > rows_per_cell:
-        depth = max(1, math.ceil(math.log(most / rows_per_cell) / math.log(1.8)))
-        tables = math.ceil(math.log(0.01) / math.log(1 - 0.8**depth))  # a pair at the threshold shares a cell of width 4 delta with probability 0.8
-    found = C.written(links(vectors, threshold, lines, tables, depth, share, seed), "links")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    same = ["h1", "h2"]  # 128 bits of hash of label and vector
+    rows = rows.withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(7), "label", "embedding")})
+    # a class of equal vectors: its least id stands for all
+    classes = usable(rows).groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.countDistinct("vec_id").alias("m"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
+    classes = C.written(classes.withColumn("size", F.size("embedding")), "classes")
+    per_label = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))  # a row for each label
+    vectors = classes.join(per_label, ["label", "size"])
+    found = C.written(links(vectors, threshold, lines, rows_per_cell, share, seed), "links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     named = P.components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(named, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    answers = classes.select("vec_id", "m", "n", *same).join(counts, "vec_id", "left").join(named, F.col("vec_id") == F.col("id"), "left")
+    answers = C.written(answers.select(*same, "n", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "answers")
+    fine = C.written(usable(rows).select("vec_id", *same), "vectors")
+    linked = C.join_counted(fine, answers, same, fine.count()).select("vec_id", "n_links", "component_id")
+    rest = rows.filter(~F.coalesce(_usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
