@@ -1,17 +1,20 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
-A fingerprint of B bytes is indexed by pairs of byte positions. Fingerprints that share such a pair of bytes are tallied:
-how many of their B positional bytes agree; those that reach the guaranteed least count are verified by Hamming distance.
-With 64 bits and a distance of d <= 3, at most d bytes differ, so at least 8 - d agree, and of the four disjoint pairs of
-positions at least one agrees as a whole: no link is lost. Longer fingerprints with a wider distance use more pairs.
-
-Equal fingerprints are one row before the index. Groups are compared in bounded blocks, which give spanning links only.
-Null and empty texts, and texts of white space, have fingerprint zero. A null id is given back with component null.
+Fingerprints of B bytes that differ in d bits at most differ in d bytes at most, so at least B - d positional bytes agree: the
+guaranteed least count. The positions are cut into groups, and the posting lists are those of all sets of r positions of a
+group with their bytes: B - d agreeing bytes fill r places of some group, by the pigeonhole principle, so every link shares a posting list.
+In a list, the agreeing positional bytes of each pair are tallied, pairs that reach the guaranteed count stay, and Hamming distance
+verifies them. With 64 bits and d = 3 these are eight lists of three bytes, so a list has a share of 2^-24 of all fingerprints.
+
+Equal fingerprints are one row before the index. Lists are compared in bounded blocks, which give spanning links only.
+Null and empty texts, and texts of white space, have fingerprint zero, linked like any other. A null id is given back with
+component null; repeated rows get equal results; an empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -63,23 +66,21 @@ def fingerprints(docs: DataFrame, shingle: int, n_words: int = 1) -> DataFrame:
     return docs.select("doc_id", "body").mapInArrow(scan, "doc_id long, fp binary")
 
 
-def position_pairs(n_bytes: int, distance: int) -> list[tuple[int, int]]:
-    """Disjoint neighbours where they lose nothing (distance below n_bytes / 2), else four pairs for each position by a fixed rule.
-
-    The four steps are odd, so the 64 pairs of 16 bytes are those of an even and an odd position: where no even or no odd byte
-    agrees, a pair of fingerprints isn't found.
-    """
-    if distance < n_bytes // 2:
-        return [(k, k + 1) for k in range(0, n_bytes, 2)]
-    return [(k, (k + step) % n_bytes) for step in (1, 3, 5, 7) for k in range(n_bytes)]
+def position_sets(n_bytes: int, distance: int, groups: int = 2) -> list[tuple[int, ...]]:
+    """Sets of byte positions, of which any n_bytes - distance positions hold at least one whole."""
+    least = n_bytes - distance
+    if least < 1:
+        raise ValueError("distance must be below the number of bytes")
+    size = -(-least // groups)
+    return [x for g in range(groups) for x in combinations(range(g * n_bytes // groups, (g + 1) * n_bytes // groups), size)]
 
 
-def links(prints: DataFrame, distance: int, least: int | None = None, share: int = SHARE) -> DataFrame:
+def links(prints: DataFrame, distance: int, share: int = SHARE) -> DataFrame:
     """Spanning links (a, b) over the node ids of prints (node, fp), fp all different."""
     n_bytes = len((prints.select("fp").first() or [b"\0" * 8])[0])
-    least = max(n_bytes - distance, 2) if least is None else least  # a shared pair is two
-    ways = position_pairs(n_bytes, distance)
-    post = prints.select("node", "fp", F.posexplode(F.array(*[F.concat(F.substring("fp", a + 1, 1), F.substring("fp", b + 1, 1)) for a, b in ways])).alias("way", "bytes"))
+    least = n_bytes - distance
+    ways = position_sets(n_bytes, distance)
+    post = prints.select("node", "fp", F.posexplode(F.array(*[F.concat(*[F.substring("fp", k + 1, 1) for k in way]) for way in ways])).alias("way", "bytes"))
     post = post.select("node", "fp", F.xxhash64("way", "bytes").alias("key"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +108,13 @@ def links(prints: DataFrame, distance: int, least: int | None = None, share: int
     return dealt.select("block", "node", "fp").repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, n_words: int = 1, least: int | None = None, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, n_words: int = 1, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links, the document itself included."""
     prints = C.written(fingerprints(C.keyed(docs, id_col, text_col), shingle, n_words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = P.components(links(nodes.filter("node is not null"), distance, least, share))
-    named = nodes.join(found, nodes["node"] == found["id"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    found = P.components(links(nodes.filter("node is not null"), distance, share))
+    named = C.written(nodes.join(found, nodes["node"] == found["id"], "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "components")
+    return C.join_counted(prints, named, ["fp"], prints.count()).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def digest(result: DataFrame) -> DataFrame:
