@@ -6,7 +6,10 @@ by one task; equal fingerprints are verified by the second, independent hash; th
 Runs of one range can be compacted to one run (`compact`), against which a later batch is deduplicated.
 
 A fingerprint that occurs often is sent once per run and document at most, so no key grows beyond the number of runs.
-Null text has no words; documents whose id is null come last; rows equal in id and text get equal results.
+Null and empty texts have no words; documents whose id is null come last; rows equal in id and text get equal results, and
+windows that only they share stay. Groups of texts grow in number with the data, not in size; fingerprint ranges are as many
+as spark.sql.shuffle.partitions, which has to be set so that a range's share of the text, 100 MB or so, fits a task. An empty
+table gives an empty result. Only the id and text columns are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from folioforge.llm import common as C
 
 #: Windows in a run, and bytes hashed at a time.
 RUN, BLOCK = 1 << 21, 1_000_000
+#: Bytes of text for each group of texts, which one task holds at a time.
+RANGE = 32 << 20
 #: Bits of the fingerprint by which runs are sorted; eight more, of another hash, verify.
 BITS = 56
-RUNS = "bucket int, header binary, width int, gaps binary, at_width int, at binary, low_width int, low binary, checks binary"
-HISTORY = "bucket int, hashes binary, checks binary, owners binary"
+RUNS = "bucket int, buckets int, header binary, width int, gaps binary, at_width int, at binary, low_width int, low binary, checks binary"
+HISTORY = "bucket int, buckets int, hashes binary, checks binary, owners binary"
 FLAGS = "grp int, rks binary, counts binary, at binary"
 
 
@@ -58,7 +63,7 @@ def _emit(parts: list, docs: list, n: int) -> pa.RecordBatch:
     ranges = _ranges(hashes, n)
     cut = np.searchsorted(ranges, np.arange(n + 1))
     header = b"".join((np.int64(len(rk)).tobytes(), rk.tobytes(), order.tobytes(), first.astype(np.int64).tobytes()))
-    rows: list[list] = [[] for _ in range(9)]
+    rows: list[list] = [[] for _ in range(10)]
     for b in range(n):
         lo, hi = cut[b], cut[b + 1]
         if lo == hi:
@@ -71,9 +76,9 @@ def _emit(parts: list, docs: list, n: int) -> pa.RecordBatch:
         width, raw = C.squeeze(gaps)
         at_width, at_raw = C.squeeze(at[lo:hi][~mine])
         low_width, low_raw = C.squeeze(at[lo:hi][mine])
-        for k, v in enumerate((b, header, width, head.tobytes() + raw, at_width, at_raw, low_width, low_raw, checks[lo:hi][~mine].tobytes())):
+        for k, v in enumerate((b, n, header, width, head.tobytes() + raw, at_width, at_raw, low_width, low_raw, checks[lo:hi][~mine].tobytes())):
             rows[k].append(v)
-    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in RUNS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names)
 
@@ -135,8 +140,8 @@ def _load(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _merged(hashes: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The merge order, where each verified fingerprint begins in it, and the least owner of each."""
-    by = np.argsort(hashes)
+    """The merge order of sorted runs, where each verified fingerprint begins in it, and the least owner of each."""
+    by = np.argsort(hashes, kind="stable")  # finds the sorted runs and merges them
     h, c = hashes[by], checks[by]
     if (clash := np.flatnonzero((h[1:] == h[:-1]) & (c[1:] != c[:-1]))).size:  # unequal windows share a hash: order them by the check too
         same = np.isin(h, h[clash])
@@ -194,7 +199,8 @@ def compact(run_table: DataFrame, history: DataFrame | None = None) -> DataFrame
             owner = np.concatenate([owner, np.frombuffer(row["owners"], np.int64)])
         by, begin, least = _merged(hashes, checks, owner)
         first = by[begin]
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "hashes": [hashes[first].tobytes()], "checks": [checks[first].tobytes()], "owners": [least.tobytes()]})
+        n = next(t["buckets"][0].as_py() for t in tables if t.num_rows)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "buckets": pa.array([n], pa.int32()), "hashes": [hashes[first].tobytes()], "checks": [checks[first].tobytes()], "owners": [least.tobytes()]})
 
     if history is None:
         return run_table.groupBy("bucket").applyInArrow(lambda key, a: squash(key, [a]), HISTORY)
@@ -204,11 +210,18 @@ def compact(run_table: DataFrame, history: DataFrame | None = None) -> DataFrame
 def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each word covered by a window that an earlier document (or history) also has goes.
 
-    Windows are judged on the input. Kept words are joined by one space. history comes from `compact` with the same buckets.
+    Windows are judged on the input. Kept words are joined by one space. history comes from `compact` and says how many
+    fingerprint ranges it has; buckets, where given, must agree. Without either there are as many as shuffle partitions.
     """
     rows = C.keyed(docs, id_col, text_col)
-    groups = C.n_partitions(docs.sparkSession)
-    found = repeats(runs(rows, words, buckets or groups), groups, history)
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    groups = max(C.n_partitions(docs.sparkSession), -(-size // RANGE))
+    if history is not None:
+        known = {r["buckets"] for r in history.select("buckets").distinct().limit(2).collect()}
+        if len(known) > 1 or buckets is not None and known - {buckets}:
+            raise ValueError(f"history has {sorted(known)} fingerprint ranges, not {buckets}")
+        buckets = next(iter(known), buckets)
+    found = repeats(runs(rows, words, buckets or C.n_partitions(docs.sparkSession)), groups, history)
 
     def drop(texts: pa.Table, flags: pa.Table) -> pa.Table:
         where: dict[int, list] = {}

@@ -51,7 +51,11 @@ def test_history_of_a_former_batch(spark, rows):
     old, new = [r for r in rows if r[0] is not None and r[0] < 22], [r for r in rows if r[0] is None or r[0] >= 22]
     frame = lambda part: spark.createDataFrame([r[:2] for r in part], "doc_id long, text string")
     history = substring_dedup.compact(substring_dedup.runs(common.keyed(frame(old)), 13, 4))
-    got = result(substring_dedup.digest(substring_dedup.dedup(frame(new), history=history, buckets=4)))
+    got = result(substring_dedup.digest(substring_dedup.dedup(frame(new), history=history)))
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(frame(new), history=history, buckets=5)
+    for i, n_words, n_removed, _ in got:  # as if both batches had come at once
+        assert (i, n_words, n_removed) in {x[:3] for x in brute_words(old + new, 13)}
     assert got <= brute_words(rows, 13) and sum(got.values()) == len(new)
     again = substring_dedup.compact(substring_dedup.runs(common.keyed(frame(new)), 13, 4), history)
     assert again.count() == 4
