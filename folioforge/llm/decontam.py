@@ -7,7 +7,10 @@ only those.
 
 A document is contaminated by an item if their local alignment reaches `share` of the item's full score. Items of fewer
 words than n are found only as whole runs of their words. The items are broadcast up to `bound` bytes; a longer benchmark
-is taken in parts of that size, one pass each. Null texts are empty; null ids stay null and match like others.
+is taken in parts of that size, one pass each. Null texts are empty; null ids stay null and match like others. Rows equal in
+id and text are one document; repeated benchmark rows are one item, and different texts of one item id are aligned each. Of several copies of an item
+in a document the best counts, of equal ones the last. Very long texts are scanned whole. Empty tables, of either kind, give no
+rows. Only ids and texts are read, so no other column can clash.
 """
 
 from __future__ import annotations

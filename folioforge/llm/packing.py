@@ -6,7 +6,9 @@ Where none has room, the piece is cut and its head fills the sequence with most
 of about `block` ids of one input partition, so nothing is shuffled, a source's share of the rows doesn't matter, and a
 block is short by less than one sequence. A lost task is simply run again: the same rows give the same sequences.
 
-Null text is empty; an empty text is its end id alone. Ids of sequences are unique but not consecutive.
+Null text is empty; an empty text is its end id alone. Repeated rows are packed each, and null ids stay null; pieces of equal
+cost keep their order in the partition. Very long texts are encoded whole and cut. An empty table gives an empty result. Only
+the id and text columns are read, so no other column can clash. Ids of sequences are unique but not consecutive.
 """
 
 from __future__ import annotations

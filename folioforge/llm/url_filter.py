@@ -7,6 +7,7 @@ A null URL or one without "://" has an empty host and path; the trees judge it b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -128,22 +129,65 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
     return model
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, dict[str, tuple[float, int]], float]:
-    """Trees, suffix statistics and prior from labelled (url, host, path, verdict), of which at most sample rows are used."""
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    y = np.array([float(r["verdict"] == "block") for r in rows])
+FOLDS = 5
+
+
+def _fold(urls: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32((u or "").encode()) % FOLDS for u in urls], np.int64)
+
+
+def _suffixes(hosts: list[str], y: np.ndarray) -> tuple[dict[str, tuple[float, int]], float]:
+    """For each suffix its smoothed share of blocked rows and their number; and the share of all."""
     prior = float(y.mean()) if len(y) else 0.5
     sums: dict[str, list[float]] = {}
-    for r, v in zip(rows, y, strict=True):
-        for s in {suffix_of(r["host"]), r["host"].rpartition(".")[2]}:
+    for h, v in zip(hosts, y.tolist(), strict=True):
+        for s in {suffix_of(h), h.rpartition(".")[2]}:
             sums.setdefault(s, []).append(v)
-    suffixes = {s: ((sum(v) + 5 * prior) / (len(v) + 5), len(v)) for s, v in sums.items()}
-    x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], suffixes, prior)
-    return boost(x, y), suffixes, prior
+    return {s: ((sum(v) + 5 * prior) / (len(v) + 5), len(v)) for s, v in sums.items()}, prior
+
+
+def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray) -> tuple[Trees, dict[str, tuple[float, int]], float]:
+    """Trees, suffix statistics and prior. The trees see suffix statistics of the other folds only, so no row's own label is among its features."""
+    fold = _fold(urls)
+    x = np.zeros((len(urls), len(NAMES)))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        of = lambda values, at: [values[j] for j in at.tolist()]
+        x[own] = features(of(urls, own), of(hosts, own), of(paths, own), *_suffixes(of(hosts, rest), y[rest]))
+    return boost(x, y), *_suffixes(hosts, y)
+
+
+def _labelled(labelled: DataFrame, sample: int) -> tuple[list[str], list[str], list[str], np.ndarray]:
+    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    return *([r[c] for r in rows] for c in ("url", "host", "path")), np.array([float(r["verdict"] == "block") for r in rows])
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, dict[str, tuple[float, int]], float]:
+    """The model of labelled (url, host, path, verdict), of which at most sample rows are used."""
+    return fit(*_labelled(labelled, sample))
+
+
+def held_out_report(labelled: DataFrame, sample: int = SAMPLE, bins: int = 5) -> dict:
+    """Error and calibration on the labelled rows of one fold, of a model of the others: rows, error, share blocked, and
+    for each range of predicted probability the rows, their mean prediction and their share blocked."""
+    urls, hosts, paths, y = _labelled(labelled, sample)
+    test = _fold(urls) == 0
+    of = lambda values, at: [v for v, t in zip(values, at, strict=True) if t]
+    trees, suffixes, prior = fit(of(urls, ~test), of(hosts, ~test), of(paths, ~test), y[~test])
+    p = 1 / (1 + np.exp(-trees.margin(features(of(urls, test), of(hosts, test), of(paths, test), suffixes, prior))))
+    true, at = y[test], np.minimum((p * bins).astype(int), bins - 1)
+    mean = lambda v: float(v.mean()) if len(v) else None
+    return {"rows": len(true), "error": mean((p >= 0.5) != true), "blocked": mean(true), "calibration": [(int((at == k).sum()), mean(p[at == k]), mean(true[at == k])) for k in range(bins)]}
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, block_probability. The verdict is the rule's where one fits, else that of the trees."""
+    """page_id, host, path, rule, verdict, block_probability. The verdict is the rule's where one fits, else that of the trees.
+
+    Null urls and urls without :// have empty host and path, no rule, and the trees' verdict; very long ones are judged whole.
+    Repeated rows get equal verdicts, and each may be in the sample; of two rules that fit, the longest decides, and two of one
+    length can't fit one url. Without labelled rows, or with one kind only, all get its verdict (allow at an even share). An
+    empty table gives an empty result. Only the id and url columns are read, so no other column can clash.
+    """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"))
     text, verdict = rule(F.col("host"), F.col("path"), rules)

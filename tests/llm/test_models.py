@@ -244,3 +244,25 @@ def test_boosted_trees_learn():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     model = url_filter.boost(x[:1500], y[:1500])
     assert ((model.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+def test_suffix_shares_do_not_leak_labels():
+    rng = random.Random(8)
+    hosts = [f"h{k % 900}.s{k % 450}" for k in range(1800)]
+    urls = [f"https://{h}/{rng.randint(0, 10**6)}" for h in hosts]
+    y = np.array([float(rng.random() < 0.3) for _ in urls])  # no feature tells anything
+    trees, suffixes, prior = url_filter.fit(urls, hosts, ["/"] * len(urls), y)
+    p = 1 / (1 + np.exp(-trees.margin(url_filter.features(urls, hosts, ["/"] * len(urls), suffixes, prior))))
+    assert abs(prior - 0.3) < 0.05 and abs(p.mean() - 0.3) < 0.1
+
+
+def test_url_model_on_held_out_rows(spark):
+    rng = random.Random(3)
+    urls = [f"https://a{k}.org/{'en' if k % 2 else 'x'}/{rng.randint(0, 999)}?{'q=1&' * (6 * (k % 2))}" for k in range(3000)]
+    rows = spark.createDataFrame([(u, f"a{k}.org", "/", "block" if (k % 2) != (k % 20 == 0) else "allow") for k, u in enumerate(urls)], "url string, host string, path string, verdict string")
+    report = url_filter.held_out_report(rows)
+    assert report["rows"] > 400 and report["error"] < 0.1
+    assert all(abs(p - true) < 0.15 for n, p, true in report["calibration"] if n > 30)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    long = spark.createDataFrame([(1, "https://a.org/" + "x" * 200_000, "clash"), (1, "https://a.org/" + "x" * 200_000, "clash"), (2, None, ""), (3, "no host", "")], "page_id long, url string, rule string")
+    assert [(r.page_id, r.verdict, r.host) for r in sorted(url_filter.judge(long).collect(), key=lambda r: r.page_id)] == [(1, "allow", "a.org"), (1, "allow", "a.org"), (2, "allow", ""), (3, "allow", "")]
