@@ -187,3 +187,21 @@ def groups(embeddings: DataFrame, threshold: float = 0.93, lines: int = 24, rows
     linked = C.join_counted(fine, answers, same, fine.count()).select("vec_id", "n_links", "component_id")
     rest = rows.filter(~F.coalesce(_usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: Every pair of a label by its cosine; components by transitive closure.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS MATERIALIZED (
+  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END
+), reach AS (
+  SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.vec_id WHERE reach.root < p.b
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a
+)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(root) AS component_id, min(root) = vec_id AS kept FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""

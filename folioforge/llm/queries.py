@@ -67,4 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": embedding_neardup.ORACLE,
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+}

@@ -250,3 +250,22 @@ def dedup(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: st
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 13 words, with the least doc_id that has it.
+ORACLE = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') AS part FROM d, unnest(range(1, len(words) - 11)) AS t(i)
+), f AS (
+  SELECT part, min(doc_id) AS earliest FROM s GROUP BY part
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos, true AS gone FROM s JOIN f USING (part) WHERE earliest < doc_id
+), w AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM d
+), k AS (
+  SELECT doc_id, count(*) AS n_words, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone IS NULL) AS kept FROM w LEFT JOIN c USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -280,3 +280,24 @@ def dedup(docs: DataFrame, length: int = 400, keep: str = "first", id_col: str =
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 400 bytes by its digest.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents
+), s AS (
+  SELECT doc_id, i, md5(body[i + 1:i + 400]) AS part FROM d, unnest(range(octet_length(body) - 399)) AS t(i)
+), m AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 AS joined FROM s WHERE part IN (SELECT part FROM s GROUP BY part HAVING count(*) > 1)
+), r AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT doc_id, i, count(*) FILTER (NOT coalesce(joined, false)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m) GROUP BY doc_id, run
+), g AS (
+  SELECT doc_id, lo, hi, 1 AS gone FROM r UNION ALL SELECT doc_id, octet_length(body), octet_length(body), 0 FROM d
+), k AS (
+  SELECT doc_id, lo, hi, gone, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi DESC), 0) AS start FROM g
+)
+SELECT doc_id, any_value(octet_length(body)) AS n_bytes, CAST(sum(hi - lo) AS BIGINT) AS n_removed, CAST(sum(gone) AS BIGINT) AS n_spans,
+  sha256(unhex(string_agg(hex(body[start + 1:lo]), '' ORDER BY lo, hi DESC))) AS kept_sha256
+FROM k JOIN d USING (doc_id) GROUP BY doc_id
+"""
