@@ -1,4 +1,4 @@
-"""Enrichment: title, summary, language, translation and structured data, local or through a model client."""
+"""Model clients, one call with retries, structured data of one text, and the scores of the local language detection; plans are in enrichment."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions import jsonops
-from folioforge.functions import markdown as M
 
 # Frequent words by which the local scorer tells languages apart.
 STOP_WORDS = {
@@ -35,15 +34,18 @@ class Client(Protocol):
 
 @dataclass
 class Mock:
-    """A deterministic model; `fail` makes that many first calls fail."""
+    """A deterministic model; `fail` makes that many first calls fail, `refuse` all calls whose prompt holds that text."""
 
     fail: int = 0
+    refuse: str = ""
     calls: list[str] = field(default_factory=list)
 
     def complete(self, prompt: str, schema: dict | None = None) -> str:
         self.calls.append(prompt)
         if len(self.calls) <= self.fail:
             raise ModelError("rate_limited", True)
+        if self.refuse and self.refuse in prompt:
+            raise ModelError("refused", False)
         if schema:
             return json.dumps(self._sample(schema))
         return "Mock " + hashlib.sha256(prompt.encode()).hexdigest()[:8]
@@ -79,60 +81,33 @@ def extract(client: Client, content: str, schema: dict, budget_bytes: int = 400_
     if not content.strip():
         return None, "skipped", []
     raw = content.encode()
-    text, notes, feedback = raw[:budget_bytes].decode("utf-8", "ignore"), ["content was cut to the model's budget"] if len(raw) > budget_bytes else [], ""
+    text, notes, feedback, wrong = content, [], "", None
+    if len(raw) > budget_bytes:
+        text = raw[:budget_bytes].decode("utf-8", "ignore")
+        notes = [f"structured extraction used the first {len(text.encode())} of {len(raw)} bytes of content"]
     for _ in range(2):
-        answer, _status = call(client, f"{feedback}{text}", jsonops.strict(schema))
-        found = re.search(r"\{.*\}", answer or "", re.S)
+        answer, attempts = call(client, f"{feedback}{text}", jsonops.strict(schema))
+        if answer is None:
+            return None, attempts[-1], notes
+        found = re.search(r"\{.*\}", answer, re.S)
         try:
-            value = json.loads(found[0]) if found else None
+            value = json.loads(found[0] if found else answer)
             wrong = jsonops.violation(value, schema)
         except ValueError:
-            value, wrong = None, "$ is not JSON"
+            wrong = "the answer was not valid JSON"
         if not wrong:
             return value, None, notes
         feedback = f"The previous answer was wrong: {wrong}\n"
-    return None, wrong, notes
-
-
-def translate(client: Client, content: str, to: str, target: int = 1000) -> str | None:
-    """Section by section; nothing if any section fails."""
-    parts = [call(client, f"Translate to {to}:\n{s}")[0] for s in M.heading_sections(content, target)]
-    return None if any(p is None for p in parts) else "\n\n".join(p.strip() for p in parts) + "\n"
-
-
-def summarise(client: Client, content: str, budget_tokens: int = 8000, levels: int = 5) -> str | None:
-    """Map-reduce over sections until the text fits."""
-    size = min(max(budget_tokens // 2, 500), 100_000)
-    for _ in range(levels):
-        if M.tokens_of(len(content)) <= budget_tokens:
-            break
-        parts = [call(client, f"Summarise:\n{s}")[0] for s in M.heading_sections(content, size)]
-        content = "\n\n".join(p for p in parts if p)
-    return call(client, f"Summarise:\n{content}")[0]
+    return None, f"model output does not match extract_schema: {wrong}", notes
 
 
 def stop_word_scores(text: Column) -> Column:
     """Map from language to its stop words' share of the words."""
     tokens = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " ")
     n = F.greatest(F.size(tokens), F.lit(1))
-    pairs = [x for lang in STOP_WORDS for x in (F.lit(lang), _share(tokens, lang) / n)]
+    pairs = [x for lang in STOP_WORDS for x in (F.lit(lang), stop_words_in(tokens, lang) / n)]
     return F.create_map(*pairs)
 
 
-def _share(tokens: Column, lang: str) -> Column:
+def stop_words_in(tokens: Column, lang: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(STOP_WORDS[lang])))
-
-
-def language_of_sections(weights: list[tuple[str, float, float]]) -> tuple[str, float]:
-    """(language, confidence, weight) of sections -> code and confidence, by the rules for mixed and unsure texts."""
-    total = sum(w for *_, w in weights)
-    if not total:
-        return "und", 0.0
-    by: dict[str, float] = {}
-    for lang, _, w in weights:
-        by[lang] = by.get(lang, 0.0) + w
-    ranked = sorted(by.items(), key=lambda x: (-x[1], x[0]))
-    sure = round(sum(c * w for _, c, w in weights) / total, 3)
-    if ranked[0][1] / total < 0.75 and len(ranked) > 1 and ranked[1][1] / total >= 0.2:
-        return "mul", sure
-    return ("und" if sure < 0.3 else ranked[0][0]), sure

@@ -166,7 +166,14 @@ def doc_stop_words(df):
     return df.select("doc_id", N._share(t, "en").cast("long").alias("en"), N._share(t, "de").cast("long").alias("de"))
 
 
-@query("documents")
+def stop_words_sql(text: str) -> str:
+    """A list of (n, lang): how many stop words of each language the text holds."""
+    words = f"string_split(lower(regexp_replace({text}, '[^\\p{{L}}]+', ' ', 'g')), ' ')"
+    return "[" + ", ".join(f"{{'n': len([w FOR w IN {words} IF w IN ({', '.join(map(repr, N.STOP_WORDS[x]))})]), 'lang': '{x}'}}" for x in N.STOP_WORDS) + "]"
+
+
+@query("documents", f"""WITH h AS (SELECT doc_id, list_max({stop_words_sql('text')}) AS best FROM documents)
+SELECT doc_id, CASE WHEN best.n > 0 THEN best.lang ELSE 'und' END AS language FROM h""")
 def doc_language(df):
     scores = N.stop_word_scores(F.col("text"))
     best = F.array_max(F.transform(F.map_entries(scores), lambda e: F.struct(e["value"].alias("s"), e["key"].alias("lang"))))

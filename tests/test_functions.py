@@ -199,8 +199,6 @@ def test_model_calls():
     assert N.call(N.Mock(fail=2), "x")[1] == ["rate_limited", "rate_limited", "ok"]
     assert N.extract(N.Mock(), "text", SCHEMA)[0]["soil"] == "clay"
     assert N.extract(N.Mock(), " ", SCHEMA)[1] == "skipped"
-    assert N.language_of_sections([("en", 0.9, 50), ("de", 0.9, 50)])[0] == "mul"
-    assert N.language_of_sections([("en", 0.9, 90), ("de", 0.9, 10)]) == ("en", 0.9)
 
 
 def test_options():

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from folioforge.plans import catalogue, records  # noqa: F401
+from folioforge.plans import catalogue, enrichment, records  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
