@@ -50,6 +50,9 @@ class Mock:
             return json.dumps(self._sample(schema))
         return "Mock " + hashlib.sha256(prompt.encode()).hexdigest()[:8]
 
+    def transcribe(self, data: bytes, first: int, last: int) -> tuple[str, bool]:
+        return f"Mock pages {first} to {last}", False
+
     def _sample(self, schema: dict) -> Any:
         kind = schema.get("type")
         kind = kind[0] if isinstance(kind, list) else kind

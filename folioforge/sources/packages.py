@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.sources import html
 
@@ -463,6 +463,13 @@ def extract(data: bytes, name: str = "") -> dict:
 FILES = 32
 
 
+def few_files(spark: SparkSession) -> None:
+    """Whole files: few of them in a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= FILES:
+        spark.conf.set(key, str(FILES))
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """Files as spark.read.format("binaryFile") gives them, refused paths and sizes already filtered."""
 
@@ -470,7 +477,5 @@ def extracted(files: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([extract(bytes(c), p) for p, c in zip(part["path"], part["content"], strict=True)], columns=[x.split()[0] for x in RESULT.split(", ")[:5]] + ["segments", "warnings", "error"])
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # whole files: few of them at a time
-    if not 0 < int(files.sparkSession.conf.get(key)) <= FILES:
-        files.sparkSession.conf.set(key, str(FILES))
+    few_files(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, RESULT)
