@@ -110,7 +110,23 @@ def table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) if lines else ""
 
 
-def docx(data: bytes) -> tuple[str, list, list]:
+#: Marks around the key and the alternative text of an image that is still to be placed.
+OPEN, ALT, CLOSE = "\ue000", "\ue001", "\ue002"
+
+
+def marker(key: str, alt: str | None = None) -> str:
+    """The placeholder of the image `key`, an entry of the package."""
+    return OPEN + key + (ALT + re.sub(f"[{OPEN}{ALT}{CLOSE}]", "", alt) if alt else "") + CLOSE
+
+
+def drawn(e: ET.Element, rels: dict[str, str]) -> str:
+    """Placeholders of the pictures that a drawing embeds."""
+    alt = next((x.get("descr") for x in e.iter() if _tag(x) in ("docPr", "cNvPr") and x.get("descr")), None)
+    keys = [rels.get(_get(x, "embed") or _get(x, "id") or "") for x in e.iter() if _tag(x) in ("blip", "imagedata")]
+    return "".join(marker(k, alt) for k in keys if k)
+
+
+def docx(data: bytes, images: bool = False) -> tuple[str, list, list]:
     p = Package(data)
     levels: dict[str, int] = {}
     for s in _all(p.xml("word/styles.xml"), "style"):
@@ -130,7 +146,7 @@ def docx(data: bytes) -> tuple[str, list, list]:
         for child in e:
             kind = _tag(child)
             if kind == "r":
-                text = "".join(x.text or "" if _tag(x) == "t" else "\t" if _tag(x) == "tab" else "\n" if _tag(x) == "br" else "" for x in child)
+                text = "".join(x.text or "" if _tag(x) == "t" else "\t" if _tag(x) == "tab" else "\n" if _tag(x) == "br" else drawn(x, rels) if images and _tag(x) in ("drawing", "pict") else "" for x in child)
                 on = lambda n: any((_get(x, "val") or "1") not in ("0", "false") for x in _all(next(_all(child, "rPr"), None), n))  # noqa: B023, E731
                 mark = "*" * (2 * on("b") + on("i"))
                 body = text.strip()
@@ -173,7 +189,7 @@ def column_number(ref: str) -> int:
     return n - 1
 
 
-def xlsx(data: bytes) -> tuple[str, list, list]:
+def xlsx(data: bytes, images: bool = False) -> tuple[str, list, list]:
     p = Package(data)
     shared = []
     for s in _all(p.xml("xl/sharedStrings.xml"), "si"):
@@ -201,13 +217,16 @@ def xlsx(data: bytes) -> tuple[str, list, list]:
                 row.pop()
             rows += [row] if row else []
         block = f"## {_get(sheet, 'name')}\n\n" + (table(rows) if rows else "_(empty sheet)_")
+        part = rels.get(_get(sheet, "id") or "", "")
+        for drawing in (to for to in p.rels(part).values() if images and "/drawings/" in to and to in p.names):
+            block += "".join("\n\n" + drawn(x, p.rels(drawing)) for x in _all(p.xml(drawing), "pic"))
         segments.append((at, "sheet", n, n))
         blocks.append(block)
         at += len(block) + 2
     return "\n\n".join(blocks), segments, warnings
 
 
-def pptx(data: bytes) -> tuple[str, list, list]:
+def pptx(data: bytes, images: bool = False) -> tuple[str, list, list]:
     p = Package(data)
     rels, blocks, segments, at = p.rels("ppt/presentation.xml"), [], [], 0
     for n, ident in enumerate(_all(p.xml("ppt/presentation.xml"), "sldId"), 1):
@@ -224,14 +243,15 @@ def pptx(data: bytes) -> tuple[str, list, list]:
                 elif text:
                     body.append("  " * level + "- " + text)
         tables = [table([["".join(t.text or "" for t in _all(c, "t")) for c in _all(r, "tc")] for r in _all(t, "tr")]) for t in _all(root, "tbl")]
-        block = "\n\n".join(x for x in (f"## Slide {n}" + (f": {title}" if title else ""), "\n".join(body), *tables) if x)
+        pictures = [drawn(x, p.rels(rels[rid])) for x in _all(root, "pic")] if images and rid in rels else []
+        block = "\n\n".join(x for x in (f"## Slide {n}" + (f": {title}" if title else ""), "\n".join(body), *tables, *pictures) if x)
         segments.append((at, "slide", n, n))
         blocks.append(block)
         at += len(block) + 2
     return "\n\n".join(blocks), segments, []
 
 
-def odf(data: bytes) -> tuple[str, list, list]:
+def odf(data: bytes, images: bool = False) -> tuple[str, list, list]:
     p = Package(data)
     blocks: list[str] = []
     segments: list = []
@@ -240,7 +260,8 @@ def odf(data: bytes) -> tuple[str, list, list]:
         out = e.text or ""
         for c in e:
             kind = _tag(c)
-            inner = " " * min(int(_get(c, "c") or 1), 64) if kind == "s" else "\t" if kind == "tab" else "\n" if kind == "line-break" else text(c)
+            href = (_get(c, "href") or "").removeprefix("./")
+            inner = marker(href) if images and kind == "image" and href else " " * min(int(_get(c, "c") or 1), 64) if kind == "s" else "\t" if kind == "tab" else "\n" if kind == "line-break" else text(c)
             out += (f"[{inner}]({_get(c, 'href')})" if kind == "a" and _get(c, "href") else inner) + (c.tail or "")
         return out
 
@@ -279,7 +300,7 @@ def odf(data: bytes) -> tuple[str, list, list]:
     return "\n\n".join(blocks), segments, []
 
 
-def epub(data: bytes) -> tuple[str, list, list]:
+def epub(data: bytes, images: bool = False) -> tuple[str, list, list]:
     p = Package(data)
     opf = next((_get(x, "full-path") for x in _all(p.xml("META-INF/container.xml"), "rootfile")), "") or ""
     root = p.xml(opf)
@@ -380,10 +401,6 @@ def pixels_allowed(data: bytes, most: int = 100_000_000) -> tuple[int, int]:
     return size[1], size[2]
 
 
-#: Marks around the key and the alternative text of an image that is still to be placed.
-OPEN, ALT, CLOSE = "\ue000", "\ue001", "\ue002"
-
-
 def place_images(content: str, segments: list[tuple], images: dict[str, bytes]) -> tuple[str, list[tuple], list[dict], list[str]]:
     """content with each placeholder as a Markdown reference, or nothing where the image is left out; segments moved along;
     the images kept (id, ext, bytes, alt, first segment that holds them), each once; warnings."""
@@ -429,8 +446,17 @@ def title_of(data: bytes) -> str | None:
     return None
 
 
-def extract(data: bytes, name: str = "") -> dict:
-    """Format, Markdown, title, pages, segments, warnings, error of one document; never raises for what a document holds."""
+def entries(data: bytes, content: str) -> dict[str, bytes]:
+    """The entries of a package that content has placeholders for, as far as they are there."""
+    p = Package(data)
+    return {k: p.read(k) for k in dict.fromkeys(re.findall(f"{OPEN}([^{ALT}{CLOSE}]*)", content)) if k in p.names}
+
+
+def extract(data: bytes, name: str = "", images: bool = False) -> dict:
+    """Format, Markdown, title, pages, segments, warnings, error of one document; never raises for what a document holds.
+
+    images: pictures of Office and OpenDocument packages are placed in the text and kept in `images`.
+    """
     row = dict(path=name, format=None, content=None, title=None, pages=None, segments=[], warnings=[], error=None)
     try:
         kind = row["format"] = sniff(data, name)
@@ -449,7 +475,11 @@ def extract(data: bytes, name: str = "") -> dict:
             raise Refused("ocr_required", "images need a model client")
         else:
             reader = {"docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub}[kind]
-            row["content"], row["segments"], row["warnings"] = reader(data)
+            row["content"], row["segments"], row["warnings"] = reader(data, images)
+            if images and kind != "epub":
+                row["content"], row["segments"], kept, notes = place_images(row["content"], row["segments"], entries(data, row["content"]))
+                row["warnings"] = row["warnings"] + notes
+                row["images"] = [{k: x[k] for k in ("id", "ext", "bytes", "alt")} for x in kept]
             row["title"] = title_of(data) if kind != "epub" else None
             row["pages"] = len(row["segments"]) or None
     except Refused as e:

@@ -144,7 +144,7 @@ def read_image(data: bytes, rules: Rules, reader: Reader | None) -> dict:
 
 def extract(data: bytes, name: str = "", rules: Rules = Rules(), reader: Reader | None = None) -> dict:
     """What packages.extract gives, with partial and images; PDFs and images are read too. Never raises for what a document holds."""
-    row = P.extract(data, name) | {"partial": False, "images": []}
+    row = {"partial": False, "images": []} | P.extract(data, name, rules.images)
     if row["format"] not in ("pdf", "png", "jpeg", "webp"):
         return row
     row |= {"error": None, "content": None}

@@ -113,6 +113,25 @@ def test_odf():
     assert row["format"] == "odp" and row["pages"] == 2 and "## Slide 1\n\nhello\n\n## Slide 2" in row["content"]
 
 
+def test_package_images():
+    big, tiny = P.png(bytes(range(256)) * 48, 64, 64, 3) + bytes(300), P.png(bytes(30 * 30 * 3), 30, 30, 3) + bytes(300)
+    ns = 'xmlns:w="w" xmlns:r="http://r" xmlns:a="a" xmlns:p="p"'
+    draw = '<w:drawing><w:docPr descr="a [wide] field"/><a:blip r:embed="{}"/></w:drawing>'
+    rels = '<R><Relationship Id="i" Target="media/a.png"/><Relationship Id="j" Target="media/b.png"/><Relationship Id="k" Target="media/none.png"/></R>'
+    body = "".join(f"<w:p><w:r><w:t>{t}</w:t>{draw.format(i)}</w:r></w:p>" for t, i in (("one", "i"), ("two", "j"), ("three", "k"), ("four", "i")))
+    data = _zip({"word/document.xml": f"<w:document {ns}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": rels, "word/media/a.png": big, "word/media/b.png": tiny})
+    row = P.extract(data, "x.docx", images=True)
+    name = f"images/{row['images'][0]['id']}.png"
+    assert row["content"].split("\n\n") == [f"one![a wide field]({name})", "two", "three", f"four![a wide field]({name})"] and [x["bytes"] for x in row["images"]] == [big]
+    assert P.extract(data, "x.docx")["content"] == "one\n\ntwo\n\nthree\n\nfour"
+    slides = {"ppt/presentation.xml": f'<p:x {ns}><p:sldId r:id="s"/><p:sldId r:id="t"/></p:x>', "ppt/_rels/presentation.xml.rels": '<R><Relationship Id="s" Target="slides/1.xml"/><Relationship Id="t" Target="slides/2.xml"/></R>',
+              "ppt/slides/1.xml": f'<p:sld {ns}><p:pic><p:cNvPr descr=""/><a:blip r:embed="i"/></p:pic></p:sld>', "ppt/slides/2.xml": f"<p:sld {ns}/>", "ppt/slides/_rels/1.xml.rels": '<R><Relationship Id="i" Target="../media/a.png"/></R>', "ppt/media/a.png": big}
+    row = P.extract(_zip(slides), "x.pptx", images=True)
+    assert row["content"].startswith("## Slide 1\n\n![image](images/") and row["content"][row["segments"][1][0] :] == "## Slide 2"
+    odt = _zip({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": f'<o:d {O_NS} xmlns:o="o"><office:body><text:p>hi <draw:frame><draw:image xlink:href="./Pictures/a.png"/></draw:frame></text:p></office:body></o:d>', "Pictures/a.png": big})
+    assert P.extract(odt, images=True)["content"] == f"hi ![image]({name})"
+
+
 def test_image_kinds_and_sizes():
     pad = bytes(300)
     heads = {"gif": b"GIF89a" + bytes([40, 0, 50, 0]), "bmp": b"BM" + bytes(16) + (40).to_bytes(4, "little") + (-50 & 0xFFFFFFFF).to_bytes(4, "little"), "webp": b"RIFF    WEBPVP8X" + bytes(8) + (39).to_bytes(3, "little") + (49).to_bytes(3, "little"),
