@@ -270,7 +270,10 @@ def page_text(pdf: Pdf, page: dict) -> str:
     plain = lambda raw: raw.decode("cp1252", "replace")
     inner = pdf.get(page.get("Contents"))
     refs = inner if isinstance(inner, list) else [page.get("Contents")]
-    body = b"\n".join(pdf.stream(ref)[0] for ref in refs if isinstance(ref, Ref))
+    streams = [pdf.stream(ref) for ref in refs if isinstance(ref, Ref)]
+    if any(left for _, left in streams):
+        raise Unreadable("the page's content has a filter that isn't known")
+    body = b"\n".join(data for data, _ in streams)
     out: list[str] = []
     font, line = plain, 0.0
 

@@ -90,6 +90,11 @@ def test_refused_and_damaged():
     assert T.extract(whole.replace(b"stream\nx", b"stream\ny"), reader=Reader())["content"] == "seen 1-1\n\n"
 
 
+def test_unknown_filters_count_as_scanned():
+    data = made([page_body(PROSE)]).replace(b"/Filter /FlateDecode", b"/Filter /LZWDecode  ")
+    assert T.extract(data, rules=T.Rules(ocr="off"))["error"][0] == "scanned_pages"
+
+
 def test_page_images():
     raw = bytes(range(256)) * 48
     jpeg = b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x40\x00\x40" + bytes(400)
