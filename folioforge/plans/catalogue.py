@@ -163,7 +163,7 @@ SELECT doc_id, len(list_filter(t, lambda x: x IN ('the','of','and','to','in','is
  len(list_filter(t, lambda x: x IN ('der','die','und','das','ist','nicht','ein','zu','den','mit','sich','auf','für','von','dem'))) AS de FROM w""")
 def doc_stop_words(df):
     t = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " ")
-    return df.select("doc_id", N._share(t, "en").cast("long").alias("en"), N._share(t, "de").cast("long").alias("de"))
+    return df.select("doc_id", N.stop_words_in(t, "en").cast("long").alias("en"), N.stop_words_in(t, "de").cast("long").alias("de"))
 
 
 def stop_words_sql(text: str) -> str:
