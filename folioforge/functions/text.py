@@ -71,7 +71,7 @@ def _named(c: Column) -> Column:
     return c
 
 
-def _numeric(text: str | None) -> str | None:
+def decoded(text: str | None) -> str | None:
     """Every entity, numeric ones too, in one pass; numbers that are no character stay."""
 
     def value(m: re.Match) -> str:
@@ -84,7 +84,7 @@ def _numeric(text: str | None) -> str | None:
     return None if text is None else re.sub(r"&(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[a-z]+);", value, text)
 
 
-numeric_udf = arrow(_numeric, "string")
+numeric_udf = arrow(decoded, "string")
 
 
 def decode_entities(c: Column) -> Column:

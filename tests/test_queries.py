@@ -43,3 +43,13 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_titles_with_unfinished_entities(spark, tmp_path):
+    titles = ["a&amp;&amp;&amp", "x &copy 2 &copy; y", "&amp;lt; &lt &bogus; &", "two  spaces ", "T</title><title>U", ""]
+    made = [(k, f"<html><head><title>{t}</title></head><body><p title='&amp'>x</p></body></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame([*made, (99, "<p>none</p>"), (100, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in catalogue.QUERIES["page_title"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(catalogue.ORACLE_SQL["page_title"]).fetchall())
