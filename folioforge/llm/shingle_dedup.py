@@ -1,11 +1,18 @@
-"""Near copies by similarity: MinHash bands find candidates, the Jaccard similarity of their word shingles decides.
+"""Near copies by similarity: a byte-position index of SimHash fingerprints finds them, the Jaccard similarity of word shingles decides.
 
-A document is the set of its five-word shingles (all its words where there are fewer). Documents that agree in one of BANDS
-bands of ROWS minima meet: a pair at a similarity of 0.8 is missed with probability (1 - 0.8^4)^27 = 7e-7, a more similar one
-less. In each block the sets are made from the texts again, and a link is a pair whose similarity reaches the threshold.
+A document is the set of its five-word shingles (all its words where there are fewer). Its fingerprint has two bytes for each of
+LISTS posting lists (SMALL_LISTS for sets of up to SMALL shingles): list k holds the positions 2k and 2k + 1 with their bytes. Fingerprints
+that share a list, agree in LEAST half bytes of their first KEPT bytes (tally) and differ in DISTANCE bits there at most (Hamming) are linked.
+At a similarity of 0.8 a bit differs with a probability of 0.161 at most (0.1875 for 4 of 5 shingles), so a pair shares no list with a
+computed probability of 4e-7 and fails the tally or the distance with 4e-8; at 0.1515, the limit for large sets, with 2e-8. The texts of each component
+are then compared: a link is a pair whose true similarity reaches the threshold.
 
-Equal sets are one row before the index, and bands of the same members are compared once. Groups are compared in bounded
-blocks, which give spanning links only. Texts without words are equal. A null id is given back with component null.
+So many lists are made only for documents that may have a near copy: of the SKETCH least shingle hashes of a document, SHARED or
+more are also among those of another one. A pair at 0.8 shares 26 of 32 on average and fewer than SHARED with probability 2e-7.
+A lower threshold than 0.8 needs more lists: `groups` refuses it.
+
+Equal sets are one row before the index. Lists and components are compared in bounded blocks, which give spanning links only.
+Texts without words are equal. A null id is given back with component null.
 """
 
 from __future__ import annotations
@@ -20,39 +27,53 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
 from folioforge.llm import pairs as P
-from folioforge.llm.simhash import shingle_hashes
+from folioforge.llm.simhash import fingerprint, shingle_hashes, tally
 
-BANDS, ROWS = 27, 4
+LISTS, SMALL_LISTS, SMALL = 240, 400, 5
+KEPT, LEAST, DISTANCE = 32, 8, 84
+SKETCH, SHARED = 32, 0.4
 SHARE = 256
-_FACTORS = np.random.Generator(np.random.PCG64(20261)).integers(1, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS hashes for each of these sets, none of which is empty."""
-    starts = np.append(0, np.cumsum([len(x) for x in sets]))
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for a, b in C.chunks(starts, 200_000):
-        flat, at = np.concatenate(sets[a:b]), starts[a:b] - starts[a]
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat(flat * _FACTORS[k], at)
-            out[a:b, k // ROWS] = C.mix(out[a:b, k // ROWS] * C.MULTIPLIERS[3] + least)
-    return out
 
 
 def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (rk, doc_id, body) as (rk, doc_id, fp, bands): fp is a 128-bit hash of the shingle set; no bands without words."""
+    """docs (rk, doc_id, body) as (rk, doc_id, fp, low): fp is a 128-bit hash of the shingle set, low its SKETCH least hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(2)]
-            some = [k for k, x in enumerate(sets) if len(x)]
-            found: list = [[]] * len(sets)
-            for k, row in zip(some, bands([sets[k] for k in some]).view(np.int64) if some else [], strict=True):
-                found[k] = row
             fp = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(found, pa.list_(pa.int64()))], ["rk", "doc_id", "fp", "bands"])
+            low = pa.array([x[:SKETCH].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, low], ["rk", "doc_id", "fp", "low"])
+
+    return docs.select("rk", "doc_id", "body").mapInArrow(scan, "rk long, doc_id long, fp binary, low array<long>")
+
+
+def sieve(nodes: DataFrame) -> DataFrame:
+    """(rk) of the nodes (rk, low) that may have a near copy."""
+    post = C.written(nodes.select("rk", F.size("low").cast("short").alias("size"), F.explode("low").alias("hash")), "sketches")
+    common = C.written(post.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    most = max(1000, post.count() // C.HOT_KEYS)
+    hot, cold = common.filter(F.col("n") > most).select("hash"), common.filter(F.col("n") <= most).select("hash")
+    found = post.join(F.broadcast(hot), "hash").unionByName(post.join(F.broadcast(hot), "hash", "left_anti").join(cold, "hash"))
+    return found.groupBy("rk", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED * F.col("size")).select("rk")
+
+
+def wide(hashes: np.ndarray) -> bytes:
+    """The fingerprint of a shingle set: two bytes for each of its posting lists."""
+    return fingerprint(hashes, (LISTS if len(hashes) > SMALL else SMALL_LISTS) // 4).astype(">u8").tobytes()
+
+
+def postings(own: DataFrame, shingle: int) -> DataFrame:
+    """(node, fp, key): fp are the first KEPT bytes, key is a posting list. own (rk, doc_id, body) has packed texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide(np.unique(shingle_hashes(x, shingle))) for x in C.unpacked(batch.column(2))]
+            keys = [np.frombuffer(x, ">u2").astype(np.int64) + (np.arange(len(x) // 2) << 16) for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[:KEPT] for x in made], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
-    return docs.select("rk", "doc_id", "body").mapInArrow(scan, "rk long, doc_id long, fp binary, bands array<long>")
+    found = own.select("rk", "doc_id", "body").mapInArrow(scan, "node long, fp binary, keys array<long>")
+    return found.select("node", "fp", F.explode("keys").alias("key"))
 
 
 def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -79,14 +100,14 @@ def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, threshold: float, share: int = SHARE) -> DataFrame:
-    """Spanning links (a, b) over the node ids of nodes (node, rk, fp, bands), whose texts are those of texts (rk, doc_id, body)."""
-    post = nodes.select("node", "rk", F.posexplode("bands").alias("way", "hash")).select("node", "rk", F.xxhash64("way", "hash").alias("key"))
-    post = C.written(post, "bands")
-    many = post.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rk").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("rk", F.lit(1)).cast("decimal(20,0)")).alias("t")).filter("n > 1")
-    once = many.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
-    dealt = C.written(P.blocks(post.join(once, "key"), "key", "rk", share).select("block", "node", "rk"), "blocks")
-    own = texts.join(dealt.select("rk").distinct(), "rk", "left_semi").select("rk", "doc_id", "body").dropDuplicates(["rk"])
-    rows = dealt.join(C.packed(own).select("rk", "body"), "rk")
+    """Spanning links (a, b) over the node ids of nodes (rk, low), whose texts are those of texts (rk, doc_id, body)."""
+    some = C.written(sieve(nodes), "sieve")  # a small table is broadcast, so the texts stay where they are
+    own = texts.filter("doc_id is not null").join(some, "rk", "left_semi").select("rk", "doc_id", "body")
+    own = C.written(C.packed(own).dropDuplicates(["rk"]), "texts")
+    post = C.written(postings(own.repartition(C.n_partitions(own.sparkSession)), shingle), "postings")
+    close = P.components(tally(post, KEPT, LEAST, DISTANCE, 4 * share, halves=True))
+    members = own.join(close, F.col("doc_id") == F.col("id")).select("component", "rk", F.col("doc_id").alias("node"), "body")
+    rows = P.blocks(members, "component", "rk", share)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in P.whole_blocks(batches, "block", 500):
@@ -104,9 +125,11 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, threshold: float, sh
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, component_id): component_id is the least doc_id reachable over links, the document itself included."""
+    if threshold < 0.8:
+        raise ValueError("the posting lists are made for a similarity of 0.8 or more")
     texts = C.keyed(docs, id_col, text_col)
     found = C.written(prints(texts, shingle), "shingles")
-    nodes = found.filter("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rk", "bands")).alias("m")).select("fp", F.col("m.doc_id").alias("node"), "m.rk", "m.bands")
+    nodes = found.filter("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rk", "low")).alias("m")).select("fp", F.col("m.doc_id").alias("node"), "m.rk", "m.low")
     known = P.components(links(nodes, texts, shingle, threshold, share))
     named = nodes.select("fp", "node").join(known, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -46,7 +46,7 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     """n_words 64-bit words; a bit is set if over half the hashes have it."""
     out = np.zeros(n_words, np.uint64)
     for k in range(n_words):
-        own = C.mix(hashes + C.MULTIPLIERS[20] * np.uint64(k)) if k else hashes
+        own = C.mix(hashes + C.MULTIPLIERS[20:21] * np.uint64(k)) if k else hashes
         counts = np.zeros(64, np.int64)
         for a in range(0, len(own), 1 << 17):
             part = np.ascontiguousarray(own[a : a + (1 << 17)])
@@ -75,26 +75,23 @@ def position_sets(n_bytes: int, distance: int, groups: int = 2) -> list[tuple[in
     return [x for g in range(groups) for x in combinations(range(g * n_bytes // groups, (g + 1) * n_bytes // groups), size)]
 
 
-def links(prints: DataFrame, distance: int, share: int = SHARE) -> DataFrame:
-    """Spanning links (a, b) over the node ids of prints (node, fp), fp all different."""
-    n_bytes = len((prints.select("fp").first() or [b"\0" * 8])[0])
-    least = n_bytes - distance
-    ways = position_sets(n_bytes, distance)
-    post = prints.select("node", "fp", F.posexplode(F.array(*[F.concat(*[F.substring("fp", k + 1, 1) for k in way]) for way in ways])).alias("way", "bytes"))
-    post = post.select("node", "fp", F.xxhash64("way", "bytes").alias("key"))
+def tally(post: DataFrame, n_bytes: int, least: int, distance: int, share: int = SHARE, halves: bool = False) -> DataFrame:
+    """Spanning links (a, b) over the nodes of post (node, fp, key): rows of a key whose fp agree in `least` bytes (or half bytes), then by Hamming distance."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in P.whole_blocks(batches, "block", 20_000):
             raw = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint8).reshape(-1, n_bytes)
             wide = np.ascontiguousarray(raw).view(np.uint64)
             node = table["node"].to_numpy()
+            if halves:
+                raw = np.concatenate([raw >> 4, raw & 15], axis=1)
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = np.zeros(len(i), bool)
                 for a in range(0, len(i), 50_000):
                     x, y = i[a : a + 50_000], j[a : a + 50_000]
-                    tally = (raw[x] == raw[y]).sum(axis=1) >= least  # count filter
-                    x, y, at = x[tally], y[tally], np.flatnonzero(tally) + a
+                    enough = (raw[x] == raw[y]).sum(axis=1) >= least  # count filter
+                    x, y, at = x[enough], y[enough], np.flatnonzero(enough) + a
                     ok[at[np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= distance]] = True
                 return ok
 
@@ -108,6 +105,14 @@ def links(prints: DataFrame, distance: int, share: int = SHARE) -> DataFrame:
     return dealt.select("block", "node", "fp").repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
 
 
+def links(prints: DataFrame, distance: int, share: int = SHARE) -> DataFrame:
+    """Spanning links (a, b) over the node ids of prints (node, fp), fp all different."""
+    n_bytes = len((prints.select("fp").first() or [b"\0" * 8])[0])
+    ways = position_sets(n_bytes, distance)
+    post = prints.select("node", "fp", F.posexplode(F.array(*[F.concat(*[F.substring("fp", k + 1, 1) for k in way]) for way in ways])).alias("way", "bytes"))
+    return tally(post.select("node", "fp", F.xxhash64("way", "bytes").alias("key")), n_bytes, n_bytes - distance, distance, share)
+
+
 def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, n_words: int = 1, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links, the document itself included."""
     prints = C.written(fingerprints(C.keyed(docs, id_col, text_col), shingle, n_words), "fingerprints")

@@ -259,3 +259,16 @@ def test_near_copies_in_shares_equal_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     for share in (8, 256):
         assert result(shingle_dedup.groups(frame, share=share)) == want
+
+
+def test_near_copies_share_a_posting_list_and_pass_the_tally():
+    rng = np.random.default_rng(9)
+    for both, one, other in [(4, 0, 1), (8, 1, 1), (12, 1, 2), (80, 0, 20), (80, 10, 10), (400, 30, 70)]:
+        for _ in range(60):
+            h = rng.integers(0, 1 << 64, both + one + other, np.uint64)
+            x, y = (np.frombuffer(shingle_dedup.wide(k), np.uint8) for k in (h[: both + one], np.append(h[:both], h[both + one :])))
+            n = min(len(x), len(y)) // 2
+            assert (x.reshape(-1, 2)[:n] == y.reshape(-1, 2)[:n]).all(axis=1).any()
+            x, y = x[: shingle_dedup.KEPT], y[: shingle_dedup.KEPT]
+            assert (x >> 4 == y >> 4).sum() + (x & 15 == y & 15).sum() >= shingle_dedup.LEAST
+            assert np.bitwise_count(x ^ y).sum() <= shingle_dedup.DISTANCE
