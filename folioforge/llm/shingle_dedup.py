@@ -11,7 +11,9 @@ So many lists are made only for documents that may have a near copy: of the SKET
 more are also among those of another one. A pair at 0.8 shares 26 of 32 on average and fewer than SHARED with probability 2e-7.
 A lower threshold than 0.8 needs more lists: `groups` refuses it.
 
-Equal sets are one row before the index. Lists and components are compared in bounded blocks, which give spanning links only.
+Equal sets are one row before the index. Lists and components are compared in bounded blocks, which give spanning links only, in
+two steps: the first FIRST lists alone, a long list or large component in shares that each hold its first row; then whatever
+that left in different components meets, in all lists. Rows and links of a group whose members are near its first one grow with its size, not its square.
 Texts without words are equal. A null id is given back with component null.
 """
 
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
 from folioforge.llm import pairs as P
-from folioforge.llm.simhash import fingerprint, shingle_hashes, tally
+from folioforge.llm.simhash import compared, fingerprint, shingle_hashes
 
 LISTS, SMALL_LISTS, SMALL = 240, 400, 5
 KEPT, LEAST, DISTANCE = 32, 8, 84
 SKETCH, SHARED = 32, 0.4
 SHARE = 256
+FIRST = 16
 
 
 def prints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -64,7 +67,7 @@ def wide(hashes: np.ndarray) -> bytes:
 
 
 def postings(own: DataFrame, shingle: int) -> DataFrame:
-    """(node, fp, key): fp are the first KEPT bytes, key is a posting list. own (rk, doc_id, body) has packed texts."""
+    """(node, fp, keys): fp are the first KEPT bytes, keys are the posting lists in order. own (rk, doc_id, body) has packed texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,21 +75,34 @@ def postings(own: DataFrame, shingle: int) -> DataFrame:
             keys = [np.frombuffer(x, ">u2").astype(np.int64) + (np.arange(len(x) // 2) << 16) for x in made]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[:KEPT] for x in made], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
-    found = own.select("rk", "doc_id", "body").mapInArrow(scan, "node long, fp binary, keys array<long>")
-    return found.select("node", "fp", F.explode("keys").alias("key"))
+    return own.select("rk", "doc_id", "body").mapInArrow(scan, "node long, fp binary, keys array<long>")
 
 
-def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links (earlier, later) that span the components over all pairs of sets of this similarity."""
+def candidates(post: DataFrame, share: int) -> DataFrame:
+    """(id, component) over the nodes of post (node, fp, keys): links are pairs of a posting list that pass the tally and the distance."""
+    early = post.select(F.col("node").alias("label"), "fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    close = C.written(P.components(compared(P.led(early, "key", "label", share), KEPT, LEAST, DISTANCE, halves=True), P.ONE_TASK), "close")
+    named = C.written(post.join(close, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("label"), "fp", "keys"), "named")
+    late = named.select("node", "label", "fp", F.explode("keys").alias("key"))
+    return P.merged(close, P.components(compared(P.apart(late, "key", "node", "label", share), KEPT, LEAST, DISTANCE, halves=True), P.ONE_TASK))
+
+
+def spanning(sets: list[np.ndarray], threshold: float, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (earlier, later) that span the components over all pairs of sets of this similarity; sets of one label are linked already."""
     sizes = np.array([len(x) for x in sets])
     starts = np.append(0, np.cumsum(sizes)[:-1])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     inside = np.zeros(int(flat.max()) + 1, np.int64)
-    root = np.arange(len(sets))
+    root, known = np.arange(len(sets)), np.zeros(len(sets), bool)
+    if labels is not None:
+        _, root, n = np.unique(labels, return_inverse=True, return_counts=True)
+        known = root == n.argmax()  # all others are compared with these
     out: list[tuple[int, int]] = []
     for k in range(len(sets)):
         if not (root != root[0]).any():
             break
+        if known[k]:
+            continue
         own = flat[starts[k] : starts[k] + sizes[k]]
         inside[own] = 1
         both = np.add.reduceat(inside[flat], starts)
@@ -99,28 +115,37 @@ def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int, threshold: float, share: int = SHARE) -> DataFrame:
-    """Spanning links (a, b) over the node ids of nodes (rk, low), whose texts are those of texts (rk, doc_id, body)."""
-    some = C.written(sieve(nodes), "sieve")  # a small table is broadcast, so the texts stay where they are
-    own = texts.filter("doc_id is not null").join(some, "rk", "left_semi").select("rk", "doc_id", "body")
-    own = C.written(C.packed(own).dropDuplicates(["rk"]), "texts")
-    post = C.written(postings(own.repartition(C.n_partitions(own.sparkSession)), shingle), "postings")
-    close = P.components(tally(post, KEPT, LEAST, DISTANCE, 4 * share, halves=True))
-    members = own.join(close, F.col("doc_id") == F.col("id")).select("component", "rk", F.col("doc_id").alias("node"), "body")
-    rows = P.blocks(members, "component", "rk", share)
+def alike(rows: DataFrame, own: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Spanning links (a, b) over the labels of rows (block, node, label) whose texts in own (doc_id, body) have this similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in P.whole_blocks(batches, "block", 500):
-            block, node, body = table["block"].to_numpy(), table["node"].to_numpy(), table["body"].combine_chunks()
+            block, label, body = table["block"].to_numpy(), table["label"].to_numpy(), table["body"].combine_chunks()
             begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
             found: list[tuple[int, int]] = []
             for a, b in zip(begin, [*begin[1:], len(block)], strict=True):
                 sets = [np.unique(shingle_hashes(x, shingle)) for x in C.unpacked(body.slice(a, b - a))]
-                found += [(int(node[a + i]), int(node[a + j])) for i, j in spanning(sets, threshold)]
+                found += [(int(label[a + i]), int(label[a + j])) for i, j in spanning(sets, threshold, label[a:b])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+        C.give_back()
 
-    return rows.select("block", "node", "body").repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+    texts = rows.join(own, F.col("node") == F.col("doc_id")).select("block", "label", "body")
+    return texts.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+
+
+def known(nodes: DataFrame, texts: DataFrame, shingle: int, threshold: float, share: int = SHARE) -> DataFrame:
+    """(id, component) over the node ids of nodes (rk, low) that have a near copy; their texts are those of texts (rk, doc_id, body)."""
+    some = C.written(sieve(nodes), "sieve")  # a small table is broadcast, so the texts stay where they are
+    own = texts.filter("doc_id is not null").join(some, "rk", "left_semi").select("rk", "doc_id", "body")
+    own = C.written(C.packed(own).dropDuplicates(["rk"]), "texts")
+    post = C.written(postings(own.repartition(C.n_partitions(own.sparkSession)), shingle), "postings")
+    close = C.written(candidates(post, 4 * share).select("component", F.col("id").alias("node"), F.col("id").alias("label")), "candidates")
+    first = C.written(P.components(alike(P.led(close, "component", "node", share), own, shingle, threshold), P.ONE_TASK), "alike")
+    named = close.join(first.select("id", F.col("component").alias("found")), F.col("node") == F.col("id"), "left").select("component", "node", F.coalesce("found", "node").alias("label"))
+    named = C.written(named, "labels")
+    rest = P.apart(named, "component", "node", "label", share, hot_only=True)
+    return P.merged(first, C.written(P.components(alike(rest, own, shingle, threshold), P.ONE_TASK), "rest"))
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
@@ -130,6 +155,6 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: st
     texts = C.keyed(docs, id_col, text_col)
     found = C.written(prints(texts, shingle), "shingles")
     nodes = found.filter("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rk", "low")).alias("m")).select("fp", F.col("m.doc_id").alias("node"), "m.rk", "m.low")
-    known = P.components(links(nodes, texts, shingle, threshold, share))
-    named = nodes.select("fp", "node").join(known, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    near = known(nodes, texts, shingle, threshold, share)
+    named = nodes.select("fp", "node").join(near, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

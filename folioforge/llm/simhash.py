@@ -75,34 +75,40 @@ def position_sets(n_bytes: int, distance: int, groups: int = 2) -> list[tuple[in
     return [x for g in range(groups) for x in combinations(range(g * n_bytes // groups, (g + 1) * n_bytes // groups), size)]
 
 
-def tally(post: DataFrame, n_bytes: int, least: int, distance: int, share: int = SHARE, halves: bool = False) -> DataFrame:
-    """Spanning links (a, b) over the nodes of post (node, fp, key): rows of a key whose fp agree in `least` bytes (or half bytes), then by Hamming distance."""
+def compared(dealt: DataFrame, n_bytes: int, least: int, distance: int, halves: bool = False) -> DataFrame:
+    """Links (a, b) that span the classes over all pairs of a block of dealt (block, label, fp) whose labels differ, whose fp agree in `least` bytes (or half bytes) and then by Hamming distance."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in P.whole_blocks(batches, "block", 20_000):
             raw = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint8).reshape(-1, n_bytes)
             wide = np.ascontiguousarray(raw).view(np.uint64)
-            node = table["node"].to_numpy()
+            names, label = np.unique(table["label"].to_numpy(), return_inverse=True)
             if halves:
                 raw = np.concatenate([raw >> 4, raw & 15], axis=1)
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                ok = np.zeros(len(i), bool)
-                for a in range(0, len(i), 50_000):
-                    x, y = i[a : a + 50_000], j[a : a + 50_000]
+                ok, differ = np.zeros(len(i), bool), np.flatnonzero(label[i] != label[j])
+                for a in range(0, len(differ), 50_000):
+                    at = differ[a : a + 50_000]
+                    x, y = i[at], j[at]
                     enough = (raw[x] == raw[y]).sum(axis=1) >= least  # count filter
-                    x, y, at = x[enough], y[enough], np.flatnonzero(enough) + a
+                    x, y, at = x[enough], y[enough], at[enough]
                     ok[at[np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= distance]] = True
                 return ok
 
             i, j = P.linked(table["block"].to_numpy(), near)
             if len(i):
-                root = P.forest(i, j, len(node))
-                at = np.flatnonzero(root != np.arange(len(node)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
+                root = P.forest(label[i], label[j], len(names))
+                at = np.flatnonzero(root != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]])], ["a", "b"])
+        C.give_back()
 
-    dealt = P.blocks(post, "key", "node", share)
-    return dealt.select("block", "node", "fp").repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+    return dealt.select("block", "label", "fp").repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+
+
+def tally(post: DataFrame, n_bytes: int, least: int, distance: int, share: int = SHARE) -> DataFrame:
+    """Spanning links (a, b) over the nodes of post (node, fp, key): rows of a key, compared in blocks."""
+    return compared(P.blocks(post, "key", "node", share).withColumn("label", F.col("node")), n_bytes, least, distance)
 
 
 def links(prints: DataFrame, distance: int, share: int = SHARE) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioforge.llm import common, embedding_neardup, line_dedup, shingle_dedup, simhash, substring_dedup, suffix_dedup
+from folioforge.llm import common, embedding_neardup, line_dedup, pairs, shingle_dedup, simhash, substring_dedup, suffix_dedup
 
 LAST = common.LAST_ID
 
@@ -272,3 +272,60 @@ def test_near_copies_share_a_posting_list_and_pass_the_tally():
             x, y = x[: shingle_dedup.KEPT], y[: shingle_dedup.KEPT]
             assert (x >> 4 == y >> 4).sum() + (x & 15 == y & 15).sum() >= shingle_dedup.LEAST
             assert np.bitwise_count(x ^ y).sum() <= shingle_dedup.DISTANCE
+
+
+def test_links_of_a_near_copy_group_grow_with_its_size(spark, monkeypatch):
+    """Rows of the blocks and links, not their square; 24 of 200 shingles differ at most, so all are near all."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in range(200)]
+    many, made = 400, Counter()
+    docs = []
+    for k in range(many):
+        w = base.copy()
+        for p in rng.choice(200, 2, replace=False):
+            w[p] = f"v{k}"
+        docs.append((k, " ".join(w)))
+    plain, compared = pairs.components, pairs.whole_blocks
+    counter = spark.sparkContext.accumulator(0)
+
+    def components(edges, *options):
+        edges = common.written(edges, "test_edges")
+        made["links"] += edges.count()
+        return plain(edges, *options)
+
+    def whole_blocks(batches, column, rows):
+        for table in compared(batches, column, rows):
+            if "body" in table.column_names:
+                counter.add(table.num_rows)
+            yield table
+
+    monkeypatch.setattr(pairs, "components", components)
+    monkeypatch.setattr(pairs, "whole_blocks", whole_blocks)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(shingle_dedup.groups(frame, share=8)) == Counter((k, 0) for k in range(many))
+    assert made["links"] < 40 * many  # 240 lists
+    assert counter.value < 3 * many  # texts compared; each share with each made 50 * many
+
+
+@pytest.mark.parametrize("labels", [1, 2, 40])
+def test_rows_of_different_labels_meet(spark, labels):
+    rows = [(k, 7, 1000 + k % 40 % labels if k % 5 == 0 else 1000) for k in range(200)] + [(300, 8, 1), (301, 8, 1), (302, 9, 1), (303, 9, 2)]
+    frame = spark.createDataFrame(rows, "id long, key long, label long")
+    met = {}
+    for r in pairs.apart(frame, "key", "id", "label", 16).collect():
+        met.setdefault(r.block, []).append(r)
+    assert max((len(x) for x in met.values()), default=0) < 60
+    together = {(x.id, y.id) for part in met.values() for x in part for y in part if x.label != y.label}
+    assert together == {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2]}
+    large = pairs.apart(frame, "key", "id", "label", 16, hot_only=True).collect()
+    assert {r.key for r in large} == ({7} if labels > 1 else set())
+    one = pairs.led(frame, "key", "id", 16).collect()
+    assert {r.id for r in one} == {r[0] for r in rows} and len(one) == len(rows) + 12  # 13 shares of key 7
+
+
+def test_components_in_one_task_equal_those_by_stars(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(40)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert result(pairs.components(frame, 1000)) == result(pairs.components(frame)) == result(pairs.components(frame, 10))
+    assert pairs.components(frame.limit(0), 1000).count() == 0
